@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarspark.llm import boilerplate, canonical, lookalike, mojibake
+from cellarspark.llm import boilerplate, canonical, lookalike, mixing, mojibake, packing, quality, tokens
 from cellarspark.operators.packed import split_values
 from cellarspark.sources.tables import table
 
@@ -91,3 +91,56 @@ def p6_unmatched(spark: SparkSession, folder: str) -> DataFrame:
     """The report of values that mean no entry: each spelling with its number of uses."""
     mapped = canonical.map_values(_free_values(spark, folder), table(spark, folder, "lexicon"), ["src", "row_id", "field", "pos"], "field", "text")
     return mapped.where("ref_id = 0").groupBy("field", "text").agg(F.count("*").alias("uses"))
+
+
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, folder, "documents"), ["doc_id", "source"], "text")
+
+
+@query
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every text, or piece of a text, for each capacity."""
+    return packing.fill_containers(_sizes(spark, folder), table(spark, folder, "pack_capacity"), "doc_id")
+
+
+@query
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    boxes = p7_containers(spark, folder).groupBy("capacity_id", "capacity_tokens", "container_id").agg(F.sum("tokens").alias("tokens"))
+    return boxes.groupBy("capacity_id", "capacity_tokens").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.avg(F.col("tokens") / F.col("capacity_tokens")).alias("mean_fill"))
+
+
+@query
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts drawn with their number of uses."""
+    return mixing.draw(_sizes(spark, folder), table(spark, folder, "mix_target"), "doc_id")
+
+
+@query
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares really reached."""
+    targets = table(spark, folder, "mix_target")
+    return mixing.shares(mixing.draw(_sizes(spark, folder), targets, "doc_id"), targets)
+
+
+def _statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.document_statistics(table(spark, folder, "documents"), "doc_id", "text", "lang", table(spark, folder, "common_word"))
+
+
+@query
+def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics of every text."""
+    return _statistics(spark, folder).withColumnRenamed("id", "doc_id").drop("form")
+
+
+@query
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The outlier score of every text."""
+    return quality.outlier_scores(_statistics(spark, folder)).select(F.col("id").alias("doc_id"), "score")
+
+
+@query
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that are no natural prose, with their form."""
+    scored = quality.outlier_scores(_statistics(spark, folder))
+    return scored.where((F.col("score") >= quality.SCORE_THRESHOLD) & F.col("form").isin("list", "table", "junk")).select(F.col("id").alias("doc_id"), "form")
