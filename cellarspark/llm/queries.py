@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellarspark.llm import boilerplate, canonical, lookalike, mixing, mojibake, packing, quality, tokens
+from cellarspark.llm import boilerplate, canonical, linkage, lookalike, mixing, mojibake, packing, quality, tokens
 from cellarspark.operators.packed import split_values
 from cellarspark.sources.tables import table
 
@@ -144,3 +144,15 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Texts that are no natural prose, with their form."""
     scored = quality.outlier_scores(_statistics(spark, folder))
     return scored.where((F.col("score") >= quality.SCORE_THRESHOLD) & F.col("form").isin("list", "table", "junk")).select(F.col("id").alias("doc_id"), "form")
+
+
+@query
+def p2_links(spark: SparkSession, folder: str) -> DataFrame:
+    """The best card of each page with score, gap, tests and confidence."""
+    return linkage.link(_found_pages(spark, folder), table(spark, folder, "strapi_output0709"))
+
+
+@query
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages about one wine of the catalog, with its card."""
+    return p2_links(spark, folder).where("mutual and checked").select("row_idx", "cache_id")
