@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarspark.operators import packed
+from cellarspark.plans.registry import query
 from cellarspark.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable:
-    """Register a plan under its name, with its SQL if there is one."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 def grape_fields(spark: SparkSession, folder: str) -> DataFrame:
     """(src, row_id, grape) of both tables that have the field."""
     catalog = table(spark, folder, "strapi_output0709").select(F.lit("strapi_output0709").alias("src"), F.col("row_idx").alias("row_id"), "grape")
@@ -33,11 +16,8 @@ def grape_fields(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.unionByName(cache)
 
 
-@query("p5_found")
+@query()
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Values of every grape field that holds two or more."""
     values = packed.split_values(grape_fields(spark, folder), ["src", "row_id"], "grape")
     return values.where("n_values >= 2").select("src", "row_id", "pos", "part_text")
-
-
-FLAGSHIP = p5_found
