@@ -12,6 +12,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def cell(column: Column | str) -> Column:
-    """A string cell without its missing markers: NULL and 'nan' (any case) become '', others are trimmed of blanks."""
+    """A string cell without its missing markers: NULL and 'nan' (any case) become '', others lose the blanks at their ends."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.when(c.isNull() | (F.lower(F.trim(c)) == "nan"), F.lit("")).otherwise(F.trim(c))
+    bare = F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return F.when(c.isNull() | (F.lower(bare) == "nan"), F.lit("")).otherwise(bare)
