@@ -31,13 +31,13 @@ def legacy_top3_weight(spark: SparkSession, folder: str) -> DataFrame:
 _T, _V = "coalesce(final_score, 0)", "coalesce(visual, 0)"
 
 
-@query(f"SELECT trace_id, logged_at, round_even(least(1, greatest(0, CASE WHEN len(neighbors) = 0 THEN 0.65 * {_V} + 0.35 * {_T} + 0.10 * {_T} WHEN len(neighbors) = 1 THEN 0.25 * {_V} + 0.75 * {_T} ELSE {_V} END)), 3) AS fused FROM recognition_trace")
+@query(f"SELECT trace_id, logged_at, round(least(1, greatest(0, CASE WHEN len(neighbors) = 0 THEN 0.65 * {_V} + 0.35 * {_T} + 0.10 * {_T} WHEN len(neighbors) = 1 THEN 0.25 * {_V} + 0.75 * {_T} ELSE {_V} END)), 6) AS fused FROM recognition_trace")
 def fused_score(spark: SparkSession, folder: str) -> DataFrame:
     """Text and visual score in one, by how exclusive the request's candidates are."""
     n = F.size("neighbors")
     t, v = F.coalesce("final_score", F.lit(0.0)), F.coalesce("visual", F.lit(0.0))
     fused = F.when(n == 0, 0.65 * v + 0.35 * t + 0.10 * t).when(n == 1, 0.25 * v + 0.75 * t).otherwise(v)
-    return table(spark, folder, "recognition_trace").select("trace_id", "logged_at", F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), fused)), 3).alias("fused"))
+    return table(spark, folder, "recognition_trace").select("trace_id", "logged_at", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), fused)), 6).alias("fused"))
 
 
 @query()
