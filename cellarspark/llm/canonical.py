@@ -28,6 +28,9 @@ MAX_NAMES = 200_000
 # ---- end of fixed values ----
 
 
+_ROMAN = {ord(k): "" if v == "-" else v for k, v in ROMAN.items()}
+
+
 def fold(text: str) -> str:
     """Small letters, ё as е, hyphens, dashes and blank runs as one blank."""
     return " ".join(re.sub(r"[^\w.%]+|_", " ", text.lower().replace("ё", "е")).split())
@@ -35,7 +38,7 @@ def fold(text: str) -> str:
 
 def romanise(text: str) -> str:
     """The usual Latin spelling of a Cyrillic name (before folding ё)."""
-    return "".join("" if ROMAN.get(c) == "-" else ROMAN.get(c, c) for c in text.lower())
+    return text.lower().translate(_ROMAN)
 
 
 def reach(n: int) -> int:

@@ -28,15 +28,18 @@ FRENCH = "àâæçéèêëîïôœùûüÿ"
 PLAIN_MARKS = " \n\t\r!\"'()*+,-./:;<=>?@[]_%&#{}|~°·«»№–—…’‘“”„•₽€$£©®™×☆★↑↓→←½¼¾±§"
 ALPHABET = RU + LATIN + FRENCH  # capitals share the class of their small letter
 
-_K = len(ALPHABET) + 3  # + outside, digit, anything else
-_OUT, _DIGIT, _ELSE = _K - 3, _K - 2, _K - 1
+_K = len(ALPHABET) + 6  # + outside, digit, opening and closing quotes, other signs, anything else
+_OUT, _DIGIT, _OPEN, _CLOSE, _SIGN, _ELSE = range(_K - 6, _K)
 _CLASS = np.full(0x10000, _ELSE, dtype=np.int32)
 for _i, _c in enumerate(ALPHABET):
     _CLASS[ord(_c)] = _CLASS[ord(_c.upper())] = _i
 for _c in "0123456789":
     _CLASS[ord(_c)] = _DIGIT
 for _c in PLAIN_MARKS:
-    _CLASS[ord(_c)] = _OUT
+    _CLASS[ord(_c)] = _OUT if _c < "\x7f" or _c in "–—…’" else _OPEN if _c in "«“„‘" else _CLOSE if _c in "»”" else _SIGN
+# look-alikes, odd blanks and invisible marks are another matter (P4): they are neither for nor against garbling
+for _a, _b in ((0xA0, 0xA0), (0xAD, 0xAD), (0x300, 0x3FF), (0x2000, 0x206F), (0x3000, 0x3000), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFF00, 0xFFEF)):
+    _CLASS[_a : _b + 1] = np.where(_CLASS[_a : _b + 1] == _ELSE, _OUT, _CLASS[_a : _b + 1])
 _CASE = np.zeros(0x10000, dtype=np.int8)
 for _c in ALPHABET:
     _CASE[ord(_c)], _CASE[ord(_c.upper())] = 1, 2
@@ -56,14 +59,17 @@ def _byte_map(table: str) -> dict[str, int]:
     return back
 
 
+#: mean log-probability of a letter pair above which a word reads well
+READS_WELL = -8.6
+_INVERTED = re.compile("[а-яё][А-ЯЁ]")
 _BACK = {t: _byte_map(t) for t in {*READ_AS, *SINGLE_READ_AS}}
 _HIGH = {t: re.compile("[" + "".join(map(re.escape, m)) + "]{2,}") for t, m in _BACK.items()}
 #: leads of well-formed two-, three- and four-byte sequences, and what may follow
 _AUTOMATON = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2})+")
 #: continuation characters that also follow a letter in ordinary writing
-_SOFT = set("»ё–—…’‘“”„•№ " + RU.upper())
+_SOFT = set("»ё–—…’‘“”„•№\xa0" + RU.upper())
 _ORDINARY = set(ALPHABET + ALPHABET.upper() + "0123456789" + PLAIN_MARKS)
-_PLAUSIBLE = re.compile("[\x80-ſͰ-ϿЀ-џҐґ -⁯₠-₿℀-⋿─-➿﻿�]+")
+_PLAUSIBLE = re.compile("[\x80-ÿŒœŸЀ-џҐґ -⁯₠-₿℀-⋿─-➿﻿�]+")
 _LOST = re.compile(r"�|\?{2,}|(?<=[^\W\d_])\?(?=[^\W\d_])")
 _URLISH = re.compile(r"\S*(?:://|www\.)\S*")
 #: something that clean text of the three languages does not show: foreign characters, inverted capitals, runs of accents
@@ -71,12 +77,15 @@ _SUSPECT = re.compile(
     "[^" + re.escape("".join(sorted(_ORDINARY))) + " ​-‏⁠﻿̀-ͯ    　­！-～Ͱ-Ͽ\U0001d400-\U0001d7ff]"
     "|[а-яё][А-ЯЁ]|[А-ЯЁ]{3}|[à-öø-ÿÀ-ÖØ-ß]{2}|[─-╿]|[РС–—ÐÑГВÃÂ├┬╨╤][^\\w\\s\\d]|[–—][А-Я][–—]"
 )
+_NOT_ASCII = re.compile("[^\\x00-\\x7f]")
 _SINGLE = re.compile("[^\\x00-\\x7f]{2}")
 _C1 = re.compile("[\\x80-\\x84\\x86-\\x9f]")
 _RUSSIAN = re.compile("[А-Яа-яЁё]")
 _LETTERS = re.compile("[^\\W\\d_A-Za-z]")
+_ORDINARY_RUN = re.compile("(?:[А-ЯЁ]+|[А-ЯЁ]?[а-яё]+|[^А-Яа-яЁё])*")
 _LOWER = set(FRENCH + RU)
-_WORD = re.compile(r"[^\s\d]+")
+_FOREIGN = re.compile("[^" + re.escape("".join(sorted(_ORDINARY))) + "]")
+_WORD = re.compile(r"[^ \t\r\n\d]+")  # a no-break blank may be a letter that was read wrongly
 
 
 class Bigrams:
@@ -88,6 +97,7 @@ class Bigrams:
         self.log = np.maximum(np.log(table / table.sum()), -14.0)
         self.log[_ELSE, :] = self.log[:, _ELSE] = -15.0
         self.log[_OUT, _OUT] = -4.0
+        self.log[_SIGN, _OUT] = self.log[_OUT, _SIGN] = -6.0
 
     def pairs(self, line: str) -> np.ndarray:
         """Log-probability of each neighbouring pair of ` line `."""
@@ -127,20 +137,27 @@ def fit_bigrams(df: DataFrame, columns: list[str]) -> list[int]:
     return counts
 
 
-def _decode_spans(text: str, sure: bool) -> tuple[str, int]:
-    """One pass of the byte automaton under the table that explains most; returns the text and the number of sequences
-    decoded. Unless sure, a lone sequence that ordinary writing could show is left."""
-    best, best_n = text, 0
-    for table in READ_AS:
-        back = _BACK[table]
+_AS_BYTES = {t: {ord(c): b for c, b in m.items()} for t, m in _BACK.items()}
+
+
+def _decode_spans(text: str, sure: bool, first: str | None = None) -> tuple[str, int, str | None]:
+    """One pass of the byte automaton under the table that explains most; returns the text, the number of sequences decoded
+    and the table. Unless sure, a lone sequence that ordinary writing could show is left. `first` is tried before the others
+    and is enough if it explains half of the characters beyond ASCII."""
+    best, best_n, best_table = text, 0, None
+    high = len(_NOT_ASCII.findall(text))
+    for table in ([first] if first else []) + [t for t in READ_AS if t != first]:
         if not _HIGH[table].search(text):
             continue
-        n = 0
+        n = shown_n = 0
+        as_bytes = _AS_BYTES[table]
 
-        def fix(m: re.Match, back: dict[str, int] = back) -> str:
-            nonlocal n
+        def fix(m: re.Match, as_bytes: dict[int, int] = as_bytes) -> str:
+            nonlocal n, shown_n
             span = m.group()
-            raw = bytes(back[c] for c in span)
+            raw = span.translate(as_bytes).encode("latin-1")
+            if _AUTOMATON.search(raw) is None:
+                return span
             out, at = [], 0
             for s in _AUTOMATON.finditer(raw):
                 plain, shown = s.group().decode("utf-8"), span[s.start() : s.end()]
@@ -151,13 +168,16 @@ def _decode_spans(text: str, sure: bool) -> tuple[str, int]:
                     out += (span[at : s.start()], plain)
                     at = s.end()
                     n += len(plain)
+                    shown_n += len(shown)
             out.append(span[at:])
             return "".join(out)
 
         fixed = _HIGH[table].sub(fix, text)
         if n > best_n:
-            best, best_n = fixed, n
-    return best, best_n
+            best, best_n, best_table = fixed, n, table
+        if 4 * shown_n >= 3 * high:
+            break
+    return best, best_n, best_table
 
 
 def _tables() -> dict[tuple[str, str], dict[int, str]]:
@@ -175,16 +195,18 @@ _RECODE = _tables()
 def _single_byte(line: str, model: Bigrams, first: tuple[str, str] | None, margin: float = 1.6) -> tuple[str, tuple[str, str] | None]:
     """Words of one line that read far better through another pair of 8-bit tables; `first` is tried before the others."""
     words = [(m.start(), m.end()) for m in _WORD.finditer(line)]
-    high = [any(ord(c) > 0x7F for c in line[a:b]) for a, b in words]
+    high = [not line[a:b].isascii() for a, b in words]
     if not any(high):
         return line, None
     old = np.concatenate([[0.0], np.cumsum(model.pairs(line))])
-    letters = [c for c in line if ord(c) > 0x7F]
+    if not _INVERTED.search(line) and not _FOREIGN.search(line):
+        # capitals only made the line suspect: it is clean if its longer words read well as they are
+        if all(old[b + 1] - old[a] > READS_WELL * (b - a + 1) for (a, b), h in zip(words, high) if h and b - a >= 4):
+            return line, None
+    letters = _NOT_ASCII.findall(line)
     best_gain, best = 0.0, None
     for pair in ([first] if first else []) + [p for p in _RECODE if p != first]:
         table = _RECODE[pair]
-        if sum(ord(c) in table for c in letters) < 0.5 * len(letters) and len(letters) > 8:
-            continue
         new_line = line.translate(table)
         if 2 * len(_RUSSIAN.findall(new_line)) < len(letters):
             continue
@@ -200,8 +222,9 @@ def _single_byte(line: str, model: Bigrams, first: tuple[str, str] | None, margi
                 run = (run[0] if run else a, b)
                 run_gain, run_len = run_gain + gain, run_len + b - a
             elif run and (k == len(words) or high[k] and gain < -0.5 * (b - a) or k < len(words) and not high[k] and any(c.isalpha() for c in line[a:b])):
-                span = new_line[run[0] : run[1]]
-                if run_len >= 4 and run_gain > margin * run_len and 5 * len(_RUSSIAN.findall(span)) >= 4 * len(_LETTERS.findall(line[run[0] : run[1]])):
+                span, was = new_line[run[0] : run[1]], line[run[0] : run[1]]
+                # a short word of ordinary letters may be an abbreviation
+                if run_len >= (7 if _ORDINARY_RUN.fullmatch(was) else 4) and run_gain > margin * run_len and 5 * len(_RUSSIAN.findall(span)) >= 4 * len(_LETTERS.findall(line[run[0] : run[1]])):
                     edits.append(run)
                     total += run_gain + len(_RUSSIAN.findall(span))
                 run, run_gain, run_len = None, 0.0, 0
@@ -226,16 +249,17 @@ def repair(text: str | None, model: Bigrams | None) -> tuple[str | None, bool, b
     lost = bool(_LOST.search(text) and _LOST.search(_URLISH.sub("", text)))
     if not lost and not _SUSPECT.search(text):
         return text, False, False
-    garbled, pair = lost, None
+    garbled, pair, table = lost, None, None
     lines = text.split("\n")
     for k, line in enumerate(lines):
         if not _SUSPECT.search(line) and not (garbled and _SINGLE.search(line)):
             continue
         n_all, shown = 0, line
         for _ in range(4):
-            line, n = _decode_spans(line, n_all > 0)
+            line, n, used = _decode_spans(line, n_all > 0, table)
             if not n:
                 break
+            table = used
             n_all += n
         garbled |= n_all > 0
         if model is not None and 5 * n_all < len(_LETTERS.findall(shown)) and _SUSPECT.search(shown):
