@@ -1,0 +1,193 @@
+"""P2, P6, P7, P8, P9 against brute force and on edge cases."""
+
+from __future__ import annotations
+
+import random
+from itertools import combinations
+
+import pytest
+from pyspark.sql import functions as F
+
+from cellarspark.llm import canonical, linkage, mixing, packing, quality
+
+NAMES = [(1, "Карминель чёрная"), (1, "Ночная ягода"), (2, "Карминель белая"), (3, "Пухлянка"), (4, "Первенец лимана")]
+
+
+def distance(a: str, b: str) -> int:
+    """Edits with swapped neighbours as one, by the full table."""
+    d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_automaton_equals_brute_force() -> None:
+    rng = random.Random(5)
+    words = list({"".join(rng.choices("абв", k=rng.randrange(1, 7))) for _ in range(60)})
+    trie = canonical.Trie(list(enumerate(words)))
+    paths = {p: r for p, r in trie.exact.items()}
+    for _ in range(60):
+        w = "".join(rng.choices("абв", k=rng.randrange(1, 7)))
+        for k in (0, 1, 2):
+            want: dict[int, int] = {}
+            for p, refs in paths.items():
+                if (d := distance(w, p)) <= k:
+                    for r in refs:
+                        want[r] = min(d, want.get(r, d))
+            assert trie.search(w, k) == want
+
+
+@pytest.mark.parametrize(
+    ("value", "ref"),
+    [("пухлянка", 3), ("Pukhlyanka", 3), ("Пухляка", 3), ("Пулхянка 34 %", 3), ("сорт Пухлянка (клон 3)", 3), ("Белая карминель", 2), ("Ночная ягода", 1), ("Первенец лим.", 4), ("Пухлянка и дикая форма", 3), ("Карминель", 0), ("купаж", 0), ("Хохлач", 0), ("34 %", 0)],
+)
+def test_values_find_their_entry(value: str, ref: int) -> None:
+    assert canonical.resolve(value, canonical.Trie(NAMES))[0] == ref
+
+
+def test_mapping_rows(spark) -> None:
+    lex = spark.createDataFrame([(1, "Пухлянка", "Пухлянка", "grape", False), (1, "Другая", "Пухлянка", "grape", True)], "ref_id long, lex_key string, canonical string, kind string, is_alias boolean")
+    rows = [(1, "grape", "Пухлянка", 9), (2, "grape", "другая", 9), (3, "grape", None, 9), (4, "region", "Пухлянка", 9), (5, "grape", "", 9), (6, None, "x", 9), (2, "grape", "другая", 9)]
+    df = spark.createDataFrame(rows, "row_id long, field string, value string, ref_id int")
+    out = canonical.map_values(df, lex, ["row_id"], "field", "value").collect()
+    assert sorted((r.row_id, r.ref_id, r.is_canonical) for r in out) == [(1, 1, True), (2, 1, False), (2, 1, False), (4, 0, False)]
+    assert {r.ref_id for r in canonical.map_values(df, lex.limit(0), ["row_id"], "field", "value").collect()} == {0}
+
+
+def test_fill_is_the_best_there_is() -> None:
+    rng = random.Random(2)
+    for _ in range(200):
+        items = [rng.randrange(1, 30) for _ in range(rng.randrange(1, 9))]
+        room = rng.randrange(1, 60)
+        counts: dict[int, int] = {}
+        for i in items:
+            counts[i] = counts.get(i, 0) + 1
+        took = packing.best_fill(sorted(counts, reverse=True), counts, room)
+        assert all(n <= counts[s] for s, n in took.items())
+        best = max(sum(c) for n in range(len(items) + 1) for c in combinations(items, n) if sum(c) <= room)
+        assert sum(s * n for s, n in took.items()) == best
+
+
+def test_containers(spark) -> None:
+    rng = random.Random(3)
+    sizes = [(i, rng.choice([0, 3, 50, 99, 100, 101, 250])) for i in range(300)] + [(1000, None), (1, 5)]
+    df = spark.createDataFrame(sizes, "doc_id long, tokens long")
+    caps = spark.createDataFrame([(1, 100), (2, 64), (3, None), (4, 0)], "capacity_id int, capacity_tokens long")
+    out = packing.fill_containers(df, caps, "doc_id").collect()
+    for cap, size in ((1, 100), (2, 64)):
+        own = [r for r in out if r.capacity_id == cap]
+        assert sum(r.tokens for r in own) == sum(s or 0 for _, s in sizes)
+        load: dict[int, int] = {}
+        for r in own:
+            load[r.container_id] = load.get(r.container_id, 0) + r.tokens
+        assert max(load.values()) <= size
+        assert len(own) == sum(max(1, -(-(s or 0) // size)) for _, s in sizes)
+        assert all(r.n_pieces == 1 for r in own if r.tokens < size and r.piece_no == 1)
+    assert {r.capacity_id for r in out} == {1, 2}
+    assert packing.fill_containers(df.limit(0), caps, "doc_id").count() == 0
+
+
+def test_flight_keeps_both_totals() -> None:
+    rng = random.Random(1)
+    size = [float(rng.randrange(1, 500)) for _ in range(400)]
+    p = mixing.flight([0.37] * 400, size, rng)
+    assert sum(0 < x < 1 for x in p) <= 2
+    assert abs(sum(p) - 0.37 * 400) < 1e-6
+    assert abs(sum(a * b for a, b in zip(p, size)) - 0.37 * sum(size)) < 1e-3
+    assert sum(mixing.land(mixing.flight([0.5] * 4, [7.0] * 4, rng), [7.0] * 4)) == 2
+
+
+def test_flight_is_unbiased() -> None:
+    mean = [0.0] * 6
+    for s in range(4000):
+        for k, x in enumerate(mixing.flight([0.5] * 6, [1.0, 2, 3, 4, 5, 6], random.Random(s))):
+            mean[k] += x / 4000
+    assert all(abs(m - 0.5) < 0.03 for m in mean)
+
+
+def test_mix_reaches_its_shares(spark) -> None:
+    rng = random.Random(4)
+    rows = [(i, "big" if i % 10 else "small", rng.randrange(1, 400)) for i in range(4000)] + [(9001, None, 5), (9002, "other", 5), (9003, "big", 0), (9004, "big", None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    goal = spark.createDataFrame([("big", 0.7, 1), ("small", 0.3, 3)], "source string, target_share double, max_repeat int")
+    drawn = mixing.draw(df, goal, "doc_id").cache()
+    assert drawn.groupBy("doc_id").count().where("count > 1").count() == 0
+    for r in mixing.shares(drawn, goal).collect():
+        assert abs(r.actual_share - r.target_share) < 0.003
+        assert r.most_uses <= r.max_repeat
+    assert mixing.draw(df.limit(0), goal, "doc_id").count() == 0
+    assert mixing.draw(df, goal.limit(0), "doc_id").count() == 0
+
+
+WORDS = [("ru", w) for w in "и в не на что он с по из это к но".split()] + [("en", w) for w in "the of and a to in is it".split()]
+FORMS = [
+    ("Вино выдержали в бочке, и оно не потеряло тон, но это не всё. На второй день он стал мягче.", "prose"),
+    ("- Пухлянка\n- Рубелан\n- Совилан\n- Мерлузан", "list"),
+    ("Вино;Год;Цена\nПухлянка;2012;100\nРубелан;2013;200\nСовилан;2014;300", "table"),
+    ("Сорт          Год     Цена\nПухлянка      2012    100\nРубелан       2013    200", "table"),
+    ("qwx zxcv bnml kjhg qwrt plkj mnbv zxcv", "junk"),
+    ("88 77 66 55 44 33 22 11 99", "junk"),
+    ('<div class="a"> <a class="b"> <span class="c"> <td class="d">', "junk"),
+    ("дешёвое вино! " * 30, "junk"),
+    ("— Вино выдержали в бочке, и оно не потеряло тон, но это не всё.\n— На второй день он стал мягче, и это не к худу.", "prose"),
+    ("", ""),
+    (" \n ", ""),
+]
+
+
+@pytest.mark.parametrize(("text", "form"), FORMS)
+def test_forms(text: str, form: str) -> None:
+    assert quality.form_of(text, frozenset(w for _, w in WORDS)) == form
+
+
+def test_ranks_equal_brute_force(spark) -> None:
+    rng = random.Random(6)
+    rows = [(s, g, float(rng.choice([0, 0, 0, 1, 2, 3, 4.5]))) for s in ("x", "y") for g in ("ru", "en") for _ in range(200)]
+    out = quality.exact_ranks(spark.createDataFrame(rows, "stat string, lang string, value double")).collect()
+    for r in out:
+        own = [v for s, g, v in rows if (s, g) == (r.stat, r.lang)]
+        assert (r.below, r.upto, r.total) == (sum(v < r.value for v in own), sum(v <= r.value for v in own), len(own))
+    assert len(out) == len({tuple(r) for r in rows})
+
+
+def test_scores(spark) -> None:
+    prose = FORMS[0][0]
+    rows = [(i, f"{prose} {prose[:i]}", None if i % 3 else "ru", 1.0) for i in range(40)] + [(50, FORMS[2][0], "ru", 1.0), (51, None, "ru", 1.0), (52, "", None, 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    common = spark.createDataFrame(WORDS, "lang string, word string")
+    out = {r.id: r for r in quality.outlier_scores(quality.document_statistics(docs, "doc_id", "text", "lang", common)).collect()}
+    assert set(out) == {*range(40), 50}
+    assert max(out.values(), key=lambda r: r.score).id == 50 and out[50].form == "table" and out[0].form == "prose"
+    assert quality.outlier_scores(quality.document_statistics(docs.limit(0), "doc_id", "text", "lang", common)).count() == 0
+
+
+CARDS = [
+    (0, "tikhiy-khutor-baloraben", "Тихий Хутор «Балорабен»", "Дом Мокшави", "Пухлянка", "", "Белое"),
+    (1, "tikhiy-khutor-baloraben-krasnoe", "Балорабен Тихий Хутор Красное", "Дом Мокшави", "", "", "Красное"),
+    (2, "lunnyy-mostik-silatadan", "Лунный Мостик Силатадан", "Шато Грайвенти", None, None, None),
+    (3, "lunnyy-mostik-silatadan", "Лунный Мостик Силатадан", "Шато Грайвенти", None, None, None),
+    (4, None, None, None, None, None, None),
+]
+PAGES = [
+    (10, "Вино Тихий Хутор Балорабен белое 0.75 л", "", "", "", "", ""),
+    (11, "Тихий Хутор Балорабне", "", "красное", "", "", ""),
+    (12, "Wine Lunnyy Mostik Silatadan купить", "Грайвенти", "", "", "", ""),
+    (13, "Вина Дом Мокшави — каталог и цены", "Дом Мокшави", "", "", "https://a.example/p/tikhiy-khutor-baloraben", ""),
+    (14, "Тихий Хутор Балорабен розовое", "", "", "", "", ""),
+    (15, "Тихий Хутор Зимидора белое", "", "", "", "", ""),
+    (16, None, None, None, None, None, None),
+    (12, "Wine Lunnyy Mostik Silatadan купить", "Грайвенти", "", "", "", ""),
+]
+
+
+def test_links(spark) -> None:
+    cards = spark.createDataFrame(CARDS, "row_idx long, slug string, name string, winery string, grape string, color string, category string").withColumn("score", F.lit(1))
+    pages = spark.createDataFrame(PAGES, "cache_id long, name string, winery string, color string, grape string, source string, text string").withColumn("page", F.lit("x"))
+    out = linkage.link(pages, cards).where("checked").collect()
+    assert sorted((r.cache_id, r.row_idx) for r in out) == [(10, 0), (11, 1), (12, 2), (12, 2)]
+    assert all(0 < r.confidence < 1 for r in out)
+    assert linkage.link(pages, cards.limit(0)).count() == 0
+    assert linkage.link(pages.limit(0), cards).count() == 0
