@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellarspark.sources.ship import ship_package
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of the folder; columns are pruned and filters pushed by the callers' plans."""
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
