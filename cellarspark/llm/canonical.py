@@ -1,8 +1,8 @@
 """P6: map freely written values to the entries of a reference list.
 
 The reference entries, with their other names, transliterations and word orders as alias paths, form a
-trie.  A lazily determinised Levenshtein automaton of the value (swapped neighbours count as one edit)
-walks the trie and returns every entry within a distance that depends on the length.  Values with no
+trie.  The Levenshtein automaton of the value (swapped neighbours count as one edit; its states are
+bits) walks the trie and returns every entry within a distance that depends on the length.  Values with no
 entry are reported as such.
 """
 
@@ -31,6 +31,9 @@ MAX_NAMES = 200_000
 _ROMAN = {ord(k): "" if v == "-" else v for k, v in ROMAN.items()}
 
 
+LENGTHS = "lengths"
+
+
 def fold(text: str) -> str:
     """Small letters, ё as е, hyphens, dashes and blank runs as one blank."""
     return " ".join(re.sub(r"[^\w.%]+|_", " ", text.lower().replace("ё", "е")).split())
@@ -46,7 +49,8 @@ def reach(n: int) -> int:
 
 
 class Trie:
-    """Names by their letters; a node is a dict, its end holds the ref_ids under the empty key."""
+    """Names by their letters; a node is a dict, its end holds the ref_ids under the empty key, and LENGTHS the shortest and
+    longest name below."""
 
     def __init__(self, entries: list[tuple[int, str]]) -> None:
         if len(entries) > MAX_NAMES:
@@ -62,44 +66,63 @@ class Trie:
             if 1 < len(words) <= 3:
                 paths |= {" ".join(p) for p in permutations(words)}
             for p in paths:
-                self.exact.setdefault(p, set()).add(ref)
-                node = self.root
-                for c in p:
-                    node = node.setdefault(c, {})
-                node.setdefault("", set()).add(ref)
+                self.add(p, ref)
+
+    def add(self, path: str, ref: int) -> Trie:
+        """One path of an entry."""
+        self.exact.setdefault(path, set()).add(ref)
+        node = self.root
+        for c in path:
+            node = node.setdefault(c, {LENGTHS: (len(path), len(path))})
+            low, high = node[LENGTHS]
+            node[LENGTHS] = (min(low, len(path)), max(high, len(path)))
+        node.setdefault("", set()).add(ref)
+        return self
 
     def search(self, word: str, k: int) -> dict[int, int]:
-        """Every ref within k edits of the word, with its distance: the word's automaton run over the trie."""
+        """Every ref within k edits of the word, with its distance.
+
+        The word's Levenshtein automaton runs over the trie: for each number of errors e an integer holds the states reached
+        (bit j: j letters of the word are read); match, insertion, replacement, deletion and swap are shifts of these. A branch
+        is left when no state is alive or no entry below has a fitting length.
+        """
         n, found = len(word), {}
-        start = (tuple(min(i, k + 1) for i in range(n + 1)), None, "")
-        moves: dict[tuple, tuple | None] = {}
-
-        def step(state: tuple, c: str) -> tuple | None:
-            key = (state, c)
-            if key in moves:
-                return moves[key]
-            row, before, last = state
-            new = [min(row[0] + 1, k + 1)]
-            for i in range(1, n + 1):
-                d = min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (word[i - 1] != c))
-                if before is not None and i > 1 and word[i - 1] == last and word[i - 2] == c:
-                    d = min(d, before[i - 2] + 1)
-                new.append(min(d, k + 1))
-            nxt = (tuple(new), row, c) if min(new) <= k or min(row) < k else None
-            moves[key] = nxt
-            return nxt
-
-        stack = [(self.root, start)]
+        at: dict[str, int] = {}
+        for j, c in enumerate(word):
+            at[c] = at.get(c, 0) | 1 << j
+        end, errors = 1 << n, range(1, k + 1)
+        start = [(1 << (e + 1)) - 1 for e in range(k + 1)]
+        stack = [(self.root, start, None, 0)]
         while stack:
-            node, state = stack.pop()
+            node, now, before, last = stack.pop()
             for c, child in node.items():
-                if c == "":
-                    d = state[0][n]
-                    if d <= k:
-                        for ref in child:
-                            found[ref] = min(d, found.get(ref, d))
-                elif (nxt := step(state, c)) is not None:
-                    stack.append((child, nxt))
+                if len(c) != 1:
+                    continue
+                low, high = child[LENGTHS]
+                if high < n - k or low > n + k:
+                    continue
+                m = at.get(c, 0)
+                lower = now[0]
+                new = [(lower & m) << 1]
+                alive = new[0]
+                for e in errors:
+                    own = now[e]
+                    r = (own & m) << 1 | lower | lower << 1 | new[e - 1] << 1
+                    if m and last and before is not None:
+                        # word[j] is this letter and word[j + 1] the one before
+                        r |= (before[e - 1] & m & last >> 1) << 2
+                    new.append(r)
+                    alive |= r
+                    lower = own
+                if not alive:
+                    continue
+                if "" in child:
+                    for e in range(k + 1):
+                        if new[e] & end:
+                            for ref in child[""]:
+                                found[ref] = min(e, found.get(ref, e))
+                            break
+                stack.append((child, new, now, m))
         return found
 
     def abbreviated(self, words: list[str]) -> set[int]:
