@@ -192,6 +192,15 @@ def _tables() -> dict[tuple[str, str], dict[int, str]]:
 _RECODE = _tables()
 
 
+def _follow(line: str, model: Bigrams, pair: tuple[str, str]) -> str | None:
+    """A short line of a text whose other lines were read through the pair, read through it too if that reads better."""
+    other = line.translate(_RECODE[pair])
+    letters = _NOT_ASCII.findall(line)
+    if other == line or 5 * len(_RUSSIAN.findall(other)) < 4 * len(letters) or _INVERTED.search(other):
+        return None
+    return other if model.pairs(other).sum() > model.pairs(line).sum() + 1.0 * len(letters) else None
+
+
 def _single_byte(line: str, model: Bigrams, first: tuple[str, str] | None, margin: float = 1.6) -> tuple[str, tuple[str, str] | None]:
     """Words of one line that read far better through another pair of 8-bit tables; `first` is tried before the others."""
     words = [(m.start(), m.end()) for m in _WORD.finditer(line)]
@@ -249,7 +258,7 @@ def repair(text: str | None, model: Bigrams | None) -> tuple[str | None, bool, b
     lost = bool(_LOST.search(text) and _LOST.search(_URLISH.sub("", text)))
     if not lost and not _SUSPECT.search(text):
         return text, False, False
-    garbled, pair, table = lost, None, None
+    garbled, pair, table, left = lost, None, None, []
     lines = text.split("\n")
     for k, line in enumerate(lines):
         if not _SUSPECT.search(line) and not (garbled and _SINGLE.search(line)):
@@ -266,7 +275,13 @@ def repair(text: str | None, model: Bigrams | None) -> tuple[str | None, bool, b
             other, hit = _single_byte(shown, model, pair)
             if hit:
                 line, pair, garbled = other, hit, True
+        if line == shown:
+            left.append(k)
         lines[k] = line
+    if pair is not None:
+        for k in left:
+            if (other := _follow(lines[k], model, pair)) is not None:
+                lines[k] = other
     out = "\n".join(lines)
     if _C1.search(out):
         garbled = lost = True
