@@ -48,31 +48,21 @@ def mostly_cyrillic(c: Column | str) -> Column:
 def fold_homoglyphs(c: Column | str) -> Column:
     """Latin look-alikes of a mostly Cyrillic word as Cyrillic."""
     c = column(c)
-    return F.when(mostly_cyrillic(c), F.translate(c, W.LOOK_LATIN, W.LOOK_CYRILLIC)).otherwise(c)
+    folded = F.translate(c, W.LOOK_LATIN, W.LOOK_CYRILLIC)
+    return F.when((folded != c) & mostly_cyrillic(c), folded).otherwise(c)
 
 
 def repair_digit(c: Column) -> Column:
     """A 3 before four letters or more is З."""
-    return F.when(c.rlike("^3[A-ZА-Я]{4,}$"), F.concat(F.lit("З"), F.substring(c, 2, 1_000_000))).otherwise(c)
+    return F.when(F.startswith(c, F.lit("3")) & c.rlike("^3[A-ZА-Я]{4,}$"), F.concat(F.lit("З"), F.substring(c, 2, 1_000_000))).otherwise(c)
 
 
 def tokens(c: Column | str) -> Column:
     """Words of three letters or more; four or more single letters in a row are one word, words of two letters end such a row."""
-    raw = F.filter(F.split(normalize(c), " "), lambda t: t != "")
-    folded = F.transform(raw, fold_homoglyphs)
-    start = F.struct(F.lit("").alias("run"), F.array().cast("array<string>").alias("out"))
-
-    def flush(s: Column) -> Column:
-        return F.when(F.length(s["run"]) >= 4, F.concat(s["out"], F.array(fold_homoglyphs(s["run"])))).otherwise(s["out"])
-
-    def step(s: Column, t: Column) -> Column:
-        single = t.rlike("^[A-ZА-Я]$")
-        return F.struct(
-            F.when(single, F.concat(s["run"], t)).otherwise(F.lit("")).alias("run"),
-            F.when(single, s["out"]).otherwise(F.when(F.length(t) >= 3, F.concat(flush(s), F.array(t))).otherwise(flush(s))).alias("out"),
-        )
-
-    return F.transform(F.aggregate(folded, start, step, flush), repair_digit)
+    # single letters in a row come as one piece, other words each for itself
+    pieces = F.regexp_extract_all(normalize(c), F.lit("(?<![^ ])[A-ZА-Я](?![^ ])(?: [A-ZА-Я](?![^ ]))*+|[^ ]+"), F.lit(0))
+    kept = F.filter(pieces, lambda t: F.when(F.contains(t, F.lit(" ")), F.length(t) >= 7).otherwise(F.length(t) >= 3))
+    return F.transform(kept, lambda t: repair_digit(fold_homoglyphs(F.replace(t, F.lit(" "), F.lit("")))))
 
 
 def years(c: Column | str) -> Column:
@@ -95,8 +85,9 @@ def copy_stem(c: Column | str) -> Column:
 
 def stems_found(c: Column | str, stems: list[str]) -> Column:
     """Those of the stems that the normalised text contains, in the stems' order."""
-    norm = normalize(c)
-    return F.filter(F.array(*map(F.lit, stems)), lambda s: F.contains(norm, s))
+    # the text is normalised once, not once a stem
+    found = F.transform(F.array(normalize(c)), lambda n: F.filter(F.array(*map(F.lit, stems)), lambda s: F.contains(n, s)))
+    return found[0]
 
 
 def sweetness(c: Column | str) -> Column:
