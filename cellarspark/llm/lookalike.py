@@ -265,11 +265,14 @@ def unify(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
         .select("skeleton", F.when(F.col("cyr") >= F.col("lat"), "cyrillic").otherwise("latin").alias("rep"))
     )
     open_rows = done.where(F.size("spelling") > 0)
-    words = open_rows.select(*keys, "text", "fixed", F.posexplode(F.arrays_zip("spelling", "skeleton")).alias("at", "w")).select(*keys, "text", "fixed", F.col("w.spelling").alias("word"), F.col("w.skeleton").alias("skeleton"))
+    each = open_rows.select(*keys, "text", "fixed", F.size("spelling").alias("__n"), F.explode(F.arrays_zip("spelling", "skeleton")).alias("w"))
+    words = each.select(*keys, "text", "fixed", "__n", F.col("w.spelling").alias("word"), F.col("w.skeleton").alias("skeleton"))
     judged = (
         words.join(classes, "skeleton", "left")
-        .groupBy(*keys, "text", "fixed")
-        .agg(F.collect_list(F.when(F.col("rep").isNotNull(), F.struct("word", "rep"))).alias("swaps"))
+        .groupBy(*keys, "text", "fixed", "__n")
+        .agg(F.collect_set(F.when(F.col("rep").isNotNull(), F.struct("word", "rep"))).alias("swaps"), (F.count("*") / F.col("__n")).cast("int").alias("__copies"))
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))  # repeated rows come out as often as they came in
+        .select(*keys, "text", "fixed", "swaps")
     )
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
