@@ -142,8 +142,7 @@ def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Texts that are no natural prose, with their form."""
-    scored = quality.outlier_scores(_statistics(spark, folder))
-    return scored.where((F.col("score") >= quality.SCORE_THRESHOLD) & F.col("form").isin("list", "table", "junk")).select(F.col("id").alias("doc_id"), "form")
+    return quality.unlike_prose(_statistics(spark, folder)).select(F.col("id").alias("doc_id"), "form")
 
 
 @query

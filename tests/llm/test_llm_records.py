@@ -8,7 +8,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from cellarspark.llm import canonical, linkage, mixing, packing, quality
+from cellarspark.llm import canonical, linkage, mixing, packing, quality, queries
 
 NAMES = [(1, "Карминель чёрная"), (1, "Ночная ягода"), (2, "Карминель белая"), (3, "Пухлянка"), (4, "Первенец лимана")]
 
@@ -164,6 +164,19 @@ def test_scores(spark) -> None:
     assert quality.outlier_scores(quality.document_statistics(docs.limit(0), "doc_id", "text", "lang", common)).count() == 0
 
 
+def test_copies_of_one_list_are_found(spark, tmp_path) -> None:
+    """A list that nine of ten rows copy is still reported, and its copies do not lower its score."""
+    prose, item = FORMS[0][0], FORMS[1][0]
+    rows = [(i, f"{prose} {prose[:i]}", "ru") for i in range(10)] + [(100 + i, item, "ru") for i in range(90)]
+    common = spark.createDataFrame(WORDS, "lang string, word string")
+    common.write.parquet(str(tmp_path / "common_word.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {(r.doc_id, r.form) for r in queries.p9_found(spark, str(tmp_path)).collect()} == {(100 + i, "list") for i in range(90)}
+    score = lambda d: quality.outlier_scores(quality.document_statistics(d, "doc_id", "text", "lang", common)).where("id = 100").first().score
+    assert score(docs) == pytest.approx(score(docs.where("doc_id <= 100")))
+
+
 CARDS = [
     (0, "tikhiy-khutor-baloraben", "Тихий Хутор «Балорабен»", "Дом Мокшави", "Пухлянка", "", "Белое"),
     (1, "tikhiy-khutor-baloraben-krasnoe", "Балорабен Тихий Хутор Красное", "Дом Мокшави", "", "", "Красное"),
