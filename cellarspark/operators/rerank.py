@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellarspark.operators.index import top_per
+from cellarspark.plans.lineage import cut
 
 #: numbers of a packed head: 6 weights, a bias, 6 means, 6 deviations
 PACKED = 19
@@ -60,20 +60,23 @@ def evaluate(ranks: DataFrame, rank: str) -> DataFrame:
 
 
 def drop_near_equal(candidates: DataFrame, key: str, order: str, vec: str, limit: int, same: float = 0.9999) -> DataFrame:
-    """(key, kept): up to `limit` candidates of each key in order, each unlike all kept before it.
+    """(key, kept): up to `limit` candidates of each key in order, each unlike all kept before it; rows without a vector are left out.
 
-    The fold reads the first 10 * limit candidates of a key, cut by a ranking before anything is gathered.
+    A round finds the first candidate of each key after the last one kept that is unlike all kept so far, so a key is full or
+    exhausted in the end, however many copies it holds; a round reads the candidates once and aggregates before it shuffles.
     """
-    first = top_per(candidates, key, [F.asc(order)], 10 * limit)
-    lead = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.col(vec).alias("v")))).alias("c"))
+    rows = candidates.where(F.col(vec).isNotNull()).select(F.col(key).alias("k"), F.struct(F.col(order).alias("o"), F.col(vec).alias("v")).alias("x"))
 
     def dot(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
-    start = F.expr("cast(array() as array<struct<o:bigint,v:array<float>>>)")
-    keep = F.aggregate(
-        "c",
-        start,
-        lambda acc, x: F.when((F.size(acc) < limit) & ~F.exists(acc, lambda y: dot(y["v"], x["v"]) >= same), F.concat(acc, F.array(F.struct(x[order].cast("bigint").alias("o"), x["v"].cast("array<float>").alias("v"))))).otherwise(acc),
-    )
-    return lead.select(key, F.transform(keep, lambda x: x["o"]).alias("kept"))
+    kept = cut(rows.groupBy("k").agg(F.min("x").alias("x")).select("k", F.array("x").alias("kept")))
+    for _ in range(limit - 1):
+        near = F.exists("kept", lambda y: F.coalesce(dot(y["v"], F.col("x.v")) >= same, F.lit(False)))
+        left = rows.join(kept.withColumnRenamed("k", "of"), F.col("k").eqNullSafe(F.col("of"))).where((F.col("x") > F.element_at("kept", -1)) & ~near)
+        found = cut(left.groupBy("k").agg(F.min("x").alias("next")).withColumnRenamed("k", "of"))
+        if found.isEmpty():
+            break
+        grown = F.when(F.col("next").isNotNull(), F.concat("kept", F.array("next"))).otherwise(F.col("kept"))
+        kept = cut(kept.join(found, F.col("k").eqNullSafe(F.col("of")), "left").select("k", grown.alias("kept")))
+    return kept.select(F.col("k").alias(key), F.transform("kept", lambda x: x["o"].cast("bigint")).alias("kept"))

@@ -44,6 +44,14 @@ def test_near_equal_vectors_are_dropped(spark) -> None:
     assert [tuple(r) for r in rerank.drop_near_equal(df, "q", "place", "v", 2).collect()] == [("q", [1, 3])]
 
 
+def test_near_equal_vectors_are_dropped_behind_many_copies(spark) -> None:
+    rows = [("q", i, [1.0, 0.0, 0.0]) for i in range(60)] + [("q", 60, [0.0, 1.0, 0.0]), ("q", 61, [0.0, 1.0, 0.0]), ("q", 62, [0.0, 0.0, 1.0]), ("q", 63, [0.6, 0.8, 0.0])]
+    rows += [(None, 5, [0.6, 0.8, 0.0]), (None, 6, [0.6, 0.8, 0.0]), ("r", 1, None), ("r", 2, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "q string, place int, v array<float>")
+    got = {r.q: r.kept for r in rerank.drop_near_equal(df, "q", "place", "v", 4).collect()}
+    assert got == {"q": [0, 60, 62, 63], None: [5], "r": [2]}
+
+
 def test_catalog_csv(spark, tmp_path) -> None:
     (tmp_path / "c.csv").write_text('﻿Slug,Название вина,Винодельня\na,"Вино, первое",nan\na,Второе,Дом\n,Третье,\nb, Четвёртое ,\n', encoding="utf-8")
     out = files.read_catalog(spark, str(tmp_path / "c.csv"), {"Slug": "slug", "Название вина": "name", "Винодельня": "winery"})
