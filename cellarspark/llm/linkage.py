@@ -2,9 +2,10 @@
 
 Both sides become sets of terms over all attributes (label words, their one-letter deletions, maker,
 colour, grape).  Rare label terms of the records form an inverted index; a page meets every record with
-which it shares one, and each meeting gets its whole BM25 score.  A record that shares no rare term with
-a page scores at most the sum of the page's frequent terms, so all records above that bound are seen and
-the best ones above it are exact.  The best record is kept if the page is also near the record's own best
+which it shares one, and each meeting gets its whole BM25 score.  A record that shares no rare label term
+with a page scores at most the sum of the page's other terms; where the page's second best is below that
+bound, the two best records by those other terms are met too (`best_by_rest`), so the two best of all
+records that share any label term are exact, however many records own a term.  The best record is kept if the page is also near the record's own best
 (mutual-nearest test); confidence comes from the score gap through a fitted logistic curve.
 """
 
@@ -33,13 +34,15 @@ NOISE = frozenset(
 )
 # ---- end of fixed values ----
 
-#: a label term that more records than this share finds no candidates of its own
+#: a label term that more records than this share is searched in the second pass only; the results do not depend on it
 RARE = 256
 K1 = 1.2
 #: weight of a one-letter deletion beside a whole word
 DELETION = 0.35
 #: the page's score with its best record, as a part of the best score that record has with any page
 MUTUAL = 0.08
+#: records in one block of the second pass, and sets of terms in one block
+RECORD_BLOCK, SET_BLOCK = 50_000, 1_000
 #: characters of the longest line that may be a title or data
 LINE = 600
 #: rows on which the confidence curve is fitted, at most
@@ -70,6 +73,11 @@ def deletions(word: str) -> list[str]:
     return list(dict.fromkeys([word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]))
 
 
+def own_script(words: list[str]) -> list[str]:
+    """Deletion terms of words in their own script: one wrong Cyrillic letter may be two or more Latin ones."""
+    return [f"c:{k}" for w in words if len(w) >= 5 and romanise(w) != w.lower() for k in deletions(w.lower())]
+
+
 def slug_label(slug: str | None) -> list[str]:
     """The label's words in an address: without a copy's number and a colour at the end."""
     parts = [p for p in (slug or "").lower().split("-") if p]
@@ -83,6 +91,7 @@ def record_terms(slug: str | None, name: str | None, winery: str | None, grape:
     label = slug_label(slug) or [w for w in words_of(name) if w not in COLOURS][:3]
     terms = [f"l:{w}" for w in label]
     terms += [f"d:{k}" for w in label[-1:] if len(w) >= 5 for k in deletions(w)]
+    terms += own_script([w for w in _WORD.findall(name or "") if label and romanise(w) == label[-1]][:1])
     terms += [f"m:{w}" for w in words_of(winery)] + [f"g:{w}" for w in words_of(grape)[:8] if len(w) > 3]
     return " ".join(label), list(dict.fromkeys(terms))
 
@@ -116,8 +125,10 @@ def page_terms(name: str, winery: str, colour: str, grape: str, address: str, te
     exact = title or path
     if not exact:
         search += [f"d:{k}" for w in words if len(w) >= 5 for k in deletions(w)]
+        search += own_script([w for w in _WORD.findall(name) if w.lower() not in NOISE])
     else:
         search += [f"d:{k}" for w in exact.split()[-1:] if len(w) >= 5 for k in deletions(w)]
+        search += own_script(shown.split()[-1:])
     maker = _MAKER.search(text)
     every = search + [f"m:{w}" for w in dict.fromkeys([*words, *words_of(winery), *words_of(maker[1] if maker else "")])]
     every += [f"g:{w}" for w in dict.fromkeys([*words, *words_of(grape)]) if len(w) > 3]
@@ -206,11 +217,55 @@ def records(catalog: DataFrame) -> DataFrame:
     return first.mapInArrow(build, "row_idx long, label string, maker string, colour string, terms array<string>").where("label <> ''")
 
 
+def best_by_rest(sets: DataFrame, rest: DataFrame, total: int) -> DataFrame:
+    """(terms, record): for each set of terms the two best records by the summed weight of the terms they own, of the records
+    that own a label term of the set; equal sums go to the smaller record.
+
+    `rest` has (term, record, idf, of_label).  Blocks of records meet blocks of sets; each meeting leaves two records a set.
+    """
+    blocks = max(1, -(-total // RECORD_BLOCK))
+    parts = F.pmod(F.xxhash64("record"), F.lit(blocks))
+    side = rest.groupBy(parts.alias("block")).agg(F.collect_list("term").alias("term"), F.collect_list("record").alias("record"), F.collect_list("idf").alias("idf"), F.collect_list("of_label").alias("of_label")).drop("block")
+    n = max(1, -(-sets.count() // SET_BLOCK))
+    packed = sets.groupBy(F.pmod(F.xxhash64("terms"), F.lit(n)).alias("block")).agg(F.collect_list("terms").alias("sets")).drop("block").repartition(n)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                term, record, idf, of_label = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(1, 5))
+                names, at = np.unique(record, return_inverse=True)
+                by_term = np.argsort(term, kind="stable")
+                keys, starts = np.unique(term[by_term], return_index=True)
+                owners = {int(k): (at[x], float(idf[x[0]]), bool(of_label[x[0]])) for k, x in zip(keys, np.split(by_term, starts[1:]))}
+                out: list[tuple[list[int], int, float]] = []
+                for terms in b.column(0)[i].as_py():
+                    own = [owners[t] for t in terms if t in owners]
+                    if not any(o[2] for o in own):
+                        continue
+                    total_of, may = np.zeros(len(names)), np.zeros(len(names), dtype=bool)
+                    for rows, w, labelled in own:
+                        total_of[rows] += w
+                        if labelled:
+                            may[rows] = True
+                    total_of[~may] = -1.0
+                    for _ in range(2):
+                        k = int(total_of.argmax())
+                        if total_of[k] >= 0:
+                            out.append((terms, int(names[k]), float(total_of[k])))
+                            total_of[k] = -1.0
+                cols = zip((0, 1, 2), (pa.list_(pa.int64()), pa.int64(), pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in cols], names=["terms", "record", "sum"])
+
+    met = packed.crossJoin(side).select("sets", "term", "record", "idf", "of_label").mapInArrow(meet, "terms array<long>, record long, sum double")
+    order = Window.partitionBy("terms").orderBy(F.desc("sum"), "record")
+    return met.withColumn("at", F.row_number().over(order)).where("at <= 2").select("terms", "record")
+
+
 def link(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     """(cache_id, row_idx, score, gap, mutual, checked, confidence): the best record of each page that has any.
 
     `pages` has (cache_id, name, winery, color, grape, source, text), `catalog` (row_idx, slug, name, winery, grape, color,
-    category); any of them may be NULL or empty.  Pages that share no rare label term with any record, and all pages for an
+    category); any of them may be NULL or empty.  Pages that share no label term with any record, and all pages for an
     empty catalog, give no row.  Equal scores go to the smaller label, equal colours to the smaller row_idx.  Repeated pages
     give repeated results.
     """
@@ -241,20 +296,31 @@ def link(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     postings = classes.select("record", F.explode("terms").alias("term")).select("record", F.xxhash64("term").alias("term"), F.substring("term", 1, 1).alias("kind"))
     total = classes.count()
     df = postings.groupBy("term", "kind").agg(F.count("*").alias("df"))
-    weighted = postings.join(df, ["term", "kind"]).withColumn("idf", F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.when(F.col("kind") == "d", DELETION).otherwise(1.0))
+    weighted = postings.join(df, ["term", "kind"]).withColumn("idf", F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.when(F.col("kind").isin("d", "c"), DELETION).otherwise(1.0))
     weighted = cut(weighted)
-    rare = weighted.where(F.col("kind").isin("l", "d") & (F.col("df") <= RARE)).select("term", "record")
+    label_term = F.col("kind").isin("l", "d", "c")
+    seed = label_term & (F.col("df") <= RARE)
+    rare = weighted.where(seed).select("term", "record")
     # BM25 with a term frequency of one, as terms are sets; short and long records alike
     profile = weighted.groupBy("record").agg(F.collect_list(F.struct("term", (F.col("idf") * (K1 + 1) / (1 + K1)).alias("w"))).alias("profile"), F.sum("idf").alias("self"))
 
-    met = asked.select("page", F.explode("search").alias("term")).join(rare, "term").select("page", "record").distinct()
-    scored = (
-        met.join(asked.select("page", "every"), "page")
-        .join(profile, "record")
-        .select("page", "record", F.aggregate("profile", F.lit(0.0), lambda s, t: s + F.when(F.array_contains("every", t["term"]), t["w"]).otherwise(0.0)).alias("score"), "self")
-    )
+    def score(pairs: DataFrame) -> DataFrame:
+        whole = F.aggregate("profile", F.lit(0.0), lambda s, t: s + F.when(F.array_contains("every", t["term"]), t["w"]).otherwise(0.0))
+        return pairs.join(asked.select("page", "every"), "page").join(profile, "record").select("page", "record", whole.alias("score"), "self")
+
     order = Window.partitionBy("page").orderBy(F.desc("score"), "record")
-    best = scored.withColumn("at", F.row_number().over(order)).where("at <= 2")
+    two_best = lambda df: df.withColumn("at", F.row_number().over(order)).where("at <= 2")
+    met = asked.select("page", F.explode("search").alias("term")).join(rare, "term").select("page", "record").distinct()
+    first = cut(two_best(score(met)).drop("at"))
+    floor = first.groupBy("page").agg(F.when(F.count("*") == 2, F.min("score")).otherwise(0.0).alias("floor"))
+    # the other terms: a set of them has the same two best records on whatever page it occurs
+    rest = weighted.where(~seed).select("term", "record", "idf", label_term.alias("of_label"))
+    owned = rest.groupBy("term").agg(F.first("idf").alias("idf"), F.first("of_label").alias("of_label"))
+    own = asked.select("page", F.explode("every").alias("term")).join(owned, "term").groupBy("page").agg(F.sum("idf").alias("bound"), F.max("of_label").alias("of_label"), F.sort_array(F.collect_list("term")).alias("terms"))
+    open_pages = cut(own.where("of_label").join(floor, "page", "left").where(F.col("bound") >= F.coalesce("floor", F.lit(0.0)) - 1e-6).select("page", "terms"))
+    by_set = best_by_rest(open_pages.select("terms").distinct(), rest, total)
+    more = open_pages.join(by_set, "terms").select("page", "record").join(first.select("page", "record"), ["page", "record"], "left_anti")
+    best = two_best(first.unionByName(score(more)))
     top = best.groupBy("page").agg(F.max_by("record", F.struct("score", -F.col("at"))).alias("record"), F.max("score").alias("score"), F.max_by("self", F.struct("score", -F.col("at"))).alias("self"), F.min(F.when(F.col("at") == 2, F.col("score"))).alias("second"))
     top = top.withColumn("gap", (F.col("score") - F.coalesce("second", F.lit(0.0))) / F.col("self"))
     top = cut(top)

@@ -204,3 +204,16 @@ def test_links(spark) -> None:
     assert all(0 < r.confidence < 1 for r in out)
     assert linkage.link(pages, cards.limit(0)).count() == 0
     assert linkage.link(pages.limit(0), cards).count() == 0
+
+
+def test_links_do_not_depend_on_rarity(spark, monkeypatch) -> None:
+    """Cards that only terms of many owners find are met too, and a wrong Cyrillic letter finds its card."""
+    cards = spark.createDataFrame(CARDS, "row_idx long, slug string, name string, winery string, grape string, color string, category string")
+    rows = [*PAGES, (20, "Тихий Хутор Балоражен белое", "", "", "", "", "")]
+    pages = spark.createDataFrame(rows, "cache_id long, name string, winery string, color string, grape string, source string, text string")
+    got = {}
+    for rare in (256, 1, 0):
+        monkeypatch.setattr(linkage, "RARE", rare)
+        got[rare] = sorted((r.cache_id, r.row_idx, round(r.score, 9), round(r.gap, 9), r.checked) for r in linkage.link(pages, cards).collect())
+    assert got[256] == got[1] == got[0]
+    assert (20, 0) in {g[:2] for g in got[0] if g[4]}
