@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellarspark.llm import lookalike, mojibake
-from cellarspark.llm.boilerplate import LABELS
 from cellarspark.llm.canonical import Trie, romanise
 from cellarspark.plans.lineage import cut
 
@@ -49,6 +48,7 @@ LINE = 600
 CALIBRATION_ROWS = 20_000
 
 _WORD = re.compile(r"[^\W\d_]+")
+LABELS = ("С этим покупают", "Похожие товары")
 _TITLE = re.compile(r"[A-ZА-ЯЁ][^\W\d_]+(?: [A-ZА-ЯЁ][^\W\d_]+){1,4}")
 _RELATED = re.compile("(?:" + "|".join(map(re.escape, LABELS)) + ")", re.I)
 _KIND = re.compile(r"Категория и цвет\s*[—–:-]\s*([^;\n]+)")

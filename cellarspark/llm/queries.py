@@ -28,7 +28,7 @@ def _found_pages(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of the main body of every page."""
-    return boilerplate.main_lines(_found_pages(spark, folder), "cache_id", "text")
+    return boilerplate.main_lines(_found_pages(spark, folder), "cache_id", "text", ["name", "winery", "grape", "color", "region"], "source")
 
 
 def _page_fields(spark: SparkSession, folder: str) -> DataFrame:

@@ -113,32 +113,66 @@ def test_strings_of_shared_letters_follow_the_frequent_spelling(spark) -> None:
     assert out[99] == ("Белое РОСА", True) and out[0] == ("Белое РОСА", False) and out[100] == (None, False) and out[101] == ("", False)
 
 
-def test_main_body(spark) -> None:
-    page = "\n".join(
-        [
-            "Каталог | Отзывы | Блог",
-            "We use cookies to keep the shop working. Accept all / Reject / Settings",
-            "Каталог » Белое вино » Медовый Мостик Балорабель",
-            "Медовый Мостик Балорабель",
+def _site(pages: int, first: int = 0) -> list[tuple]:
+    """Pages of one site whose furniture is worded as no other page of the tests is, a foreign title list among it."""
+    told = ["Вино выдержали два года в дубовой бочке.", "Лоза растёт на меловой террасе у реки.", "Кислотность держит форму, танины не мешают.", "Урожай собирали ночью, чтобы сохранить свежесть.", "The cellar keeps a few cases for winter guests.", "Во вкусе слышны тона айвы и мокрого камня."]
+    data = ["Крепость: 13 %", "Подача 8–10 °C", "Год урожая 2021", "Купаж: Рубелан"]
+    out = []
+    for k in range(first, first + pages):
+        title = f"Тихий Берег {['Ромашен', 'Каладоль', 'Вернитан', 'Сомирель'][k % 4]}"
+        lines = [
+            "Terms of service | Privacy | Careers",
+            "This website stores cookies to improve your experience.",
+            title,
             "",
-            "Сорт винограда: Рубелан",
-            "Вино выдержали два года в дубовой бочке, и кислотность держит форму.",
-            "На ярмарке спрашивали про корзину и доставку — хозяйка везёт всё сама.",
-            "С этим покупают",
-            "Зелёный Курган Линеневин 3427 ₽",
-            "Медовый Мостик Другой, розовое сухое",
-            "В корзину",
-            "© 2014–2022 shop.example",
+            f"{data[k % 4]}; {data[(k + 1 + k // 4) % 4]}",
+            f"{told[k % 6]} {told[(k + 1 + k // 6) % 6]}",
+            "Следите за нами в социальных сетях",
+            f"{told[(k + 2) % 6]} {told[(k + 3 + k // 5) % 6]} {told[(k + 5) % 6]}",
+            "Goes well with",
+            f"Синий Утёс Гаромель {900 + k} ₽",
+            f"Белый Камень Тавориль {700 + k} ₽",
+            "All rights reserved 2024",
         ]
-    )
-    rows = [(1, page, 7), (2, None, 7), (3, "", 7), (4, " \n ", 7), (5, "В корзину", 7), (1, page, 7)]
-    df = spark.createDataFrame(rows, "cache_id long, text string, line_no int")
-    out = boilerplate.main_lines(df, "cache_id", "text").collect()
-    assert sorted((r.cache_id, r.line_no) for r in out) == sorted([(1, n) for n in (4, 6, 7, 8)] * 2)
-    assert boilerplate.main_lines(df.limit(0), "cache_id", "text").count() == 0
-
-
-def test_paths_score_by_density_and_furniture() -> None:
-    sentence, menu = boilerplate.LEAVES.index("sentence"), boilerplate.LEAVES.index("menu")
-    scores = boilerplate.score_paths({sentence: (10, 2000, 60), menu: (10, 2000, 60)})
-    assert scores[sentence] == 1.0 and scores[menu] == 0.0
+        out.append((k, "\n".join(lines), f"Купить {title} 0,75", f"https://shop.example/item/{k}", 7))
+    return out
+
+
+BODY = (3, 5, 6, 8)
+PAGE = "cache_id long, text string, name string, source string, line_no int"
+
+
+@pytest.mark.parametrize("ship_rows", [boilerplate.SHIP_ROWS, 0])
+def test_main_body_without_known_furniture(spark, ship_rows: int) -> None:
+    rows = _site(40)
+    rows += [(100, None, None, None, 7), (101, "", "", "", 7), (102, " \n ", None, None, 7), (103, "All rights reserved 2024", None, None, 7), rows[5]]
+    out = boilerplate.main_lines(spark.createDataFrame(rows, PAGE), "cache_id", "text", ["name"], "source", ship_rows=ship_rows).collect()
+    want = [(k, n) for k in range(40) for n in BODY] + [(5, n) for n in BODY]
+    assert sorted((r.cache_id, r.line_no) for r in out) == sorted(want)
+    assert boilerplate.main_lines(spark.createDataFrame([], PAGE), "cache_id", "text", ["name"], "source").count() == 0
+
+
+def test_copies_of_a_page_leave_its_body(spark) -> None:
+    rows = _site(40) + [(1000 + k, *_site(1, 3)[0][1:]) for k in range(30)]
+    out = boilerplate.main_lines(spark.createDataFrame(rows, PAGE), "cache_id", "text", ["name"], "source").where("cache_id >= 1000").collect()
+    assert sorted((r.cache_id, r.line_no) for r in out) == [(1000 + k, n) for k in range(30) for n in BODY]
+
+
+def test_same_leaf_is_body_or_furniture_by_its_ratios() -> None:
+    alone = boilerplate.path_score(500, 0.0, 500 * 60, 0, 0, 0, 0, 0.4, False)[0]
+    mixed = boilerplate.path_score(500, 3.0, 500 * 60, 0, 0, 0, 0, 0.4, False)[0]
+    goods = boilerplate.path_score(500, 3.0, 500 * 40, 0, 0, 500 * 25, 500 * 40, 0.4, False)[0]
+    sentence = boilerplate.path_score(60, 0.0, 60 * 60, 60, 0, 0, 0, 0.01, False)[0]
+    assert alone < boilerplate.THRESHOLD < mixed and goods < boilerplate.THRESHOLD < sentence
+    assert boilerplate.path_score(1, 0.0, 60, 1, 0, 0, 0, 0.0, True)[0] == 0.0
+
+
+def test_garbled_and_lost_letters(spark) -> None:
+    rows = _site(40)
+    lost = "".join("?" if ord(c) > 0x7F else c for c in rows[7][1])
+    rows[7] = (7, lost, *rows[7][2:])
+    shown = rows[9][1].encode("utf-8").decode("latin-1")
+    rows[9] = (9, shown, *rows[9][2:])
+    out = boilerplate.main_lines(spark.createDataFrame(rows, PAGE), "cache_id", "text", ["name"], "source").where("cache_id in (7, 9)").collect()
+    assert {(r.cache_id, r.line_no) for r in out} >= {(k, n) for k in (7, 9) for n in (6, 8)}
+    assert not {(7, n) for n in (1, 2, 7, 10, 11, 12)} & {(r.cache_id, r.line_no) for r in out}
