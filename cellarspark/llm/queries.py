@@ -123,26 +123,26 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(mixing.draw(_sizes(spark, folder), targets, "doc_id"), targets)
 
 
-def _statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.document_statistics(table(spark, folder, "documents"), "doc_id", "text", "lang", table(spark, folder, "common_word"))
+def _documents(spark: SparkSession, folder: str) -> tuple:
+    return table(spark, folder, "documents"), "doc_id", "text", "lang", table(spark, folder, "common_word")
 
 
 @query
 def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics of every text."""
-    return _statistics(spark, folder).withColumnRenamed("id", "doc_id").drop("form")
+    return quality.document_statistics(*_documents(spark, folder)).withColumnRenamed("id", "doc_id")
 
 
 @query
 def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The outlier score of every text."""
-    return quality.outlier_scores(_statistics(spark, folder)).select(F.col("id").alias("doc_id"), "score")
+    return quality.outlier_scores(*_documents(spark, folder)).select(F.col("id").alias("doc_id"), "lang", "score")
 
 
 @query
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Texts that are no natural prose, with their form."""
-    return quality.unlike_prose(_statistics(spark, folder)).select(F.col("id").alias("doc_id"), "form")
+    return quality.unlike_prose(*_documents(spark, folder)).select(F.col("id").alias("doc_id"), "form")
 
 
 @query

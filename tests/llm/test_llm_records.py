@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from itertools import combinations
 
@@ -145,8 +146,8 @@ def test_forms(text: str, form: str) -> None:
 
 def test_ranks_equal_brute_force(spark) -> None:
     rng = random.Random(6)
-    rows = [(s, g, float(rng.choice([0, 0, 0, 1, 2, 3, 4.5]))) for s in ("x", "y") for g in ("ru", "en") for _ in range(200)]
-    out = quality.exact_ranks(spark.createDataFrame(rows, "stat string, lang string, value double")).collect()
+    rows = [(s, g, rng.choice([0, 0, 0, 1, 2, 3, 45])) for s in (0, 1) for g in ("ru", "en") for _ in range(200)]
+    out = quality.exact_ranks(spark.createDataFrame(rows, "stat int, lang string, value int")).collect()
     for r in out:
         own = [v for s, g, v in rows if (s, g) == (r.stat, r.lang)]
         assert (r.below, r.upto, r.total) == (sum(v < r.value for v in own), sum(v <= r.value for v in own), len(own))
@@ -158,10 +159,56 @@ def test_scores(spark) -> None:
     rows = [(i, f"{prose} {prose[:i]}", None if i % 3 else "ru", 1.0) for i in range(40)] + [(50, FORMS[2][0], "ru", 1.0), (51, None, "ru", 1.0), (52, "", None, 1.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
     common = spark.createDataFrame(WORDS, "lang string, word string")
-    out = {r.id: r for r in quality.outlier_scores(quality.document_statistics(docs, "doc_id", "text", "lang", common)).collect()}
+    out = {r.id: r for r in quality.outlier_scores(docs, "doc_id", "text", "lang", common).collect()}
     assert set(out) == {*range(40), 50}
-    assert max(out.values(), key=lambda r: r.score).id == 50 and out[50].form == "table" and out[0].form == "prose"
-    assert quality.outlier_scores(quality.document_statistics(docs.limit(0), "doc_id", "text", "lang", common)).count() == 0
+    assert max(out.values(), key=lambda r: r.score).id == 50
+    assert quality.outlier_scores(docs.limit(0), "doc_id", "text", "lang", common).count() == 0
+    assert quality.unlike_prose(docs.limit(0), "doc_id", "text", "lang", common).count() == 0
+
+
+def test_scores_equal_brute_force(spark) -> None:
+    rng = random.Random(4)
+    words = [w for _, w in WORDS] + "вино лоза бочка тон year cellar 12 ; .".split()
+    texts = ["\n".join(" ".join(rng.choices(words, k=rng.randint(1, 9))) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t, "ru") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    common = spark.createDataFrame(WORDS, "lang string, word string")
+    by = {g: frozenset(w for k, w in WORDS if k == g) for g in ("ru", "en")}
+    steps = [quality.steps(quality.statistics(t, by, by["ru"] | by["en"], "ru")[1]) for t in texts]
+    once = list(set(steps))
+    for r in quality.outlier_scores(docs, "doc_id", "text", "lang", common).collect():
+        logs = []
+        for k, (side, _) in enumerate(quality.STATISTICS.values()):
+            v = steps[r.id][k]
+            le, ge = (sum(x[k] <= v for x in once) / len(once), sum(x[k] >= v for x in once) / len(once))
+            logs.append(-math.log(ge if side > 0 else le if side < 0 else min(1.0, 2 * min(le, ge))))
+        assert r.score == pytest.approx(sum(logs) / len(logs), abs=1e-6)
+
+
+def _mixture(prose: int, lists: int, seed: int = 3) -> list[tuple]:
+    rng = random.Random(seed)
+    words = "вино бочка лоза тон вкус аромат почва ягода урожай погреб склон ряд год осень".split()
+    small = [w for g, w in WORDS if g == "ru"]
+    told = lambda: " ".join(x for _ in range(rng.randint(4, 8)) for x in (rng.choice(words), rng.choice(small))).capitalize() + "."
+    out = [(k, " ".join(told() for _ in range(rng.randint(2, 6))), "ru") for k in range(prose)]
+    return out + [(10_000 + k, "\n".join(f"- {rng.choice(words).capitalize()}" for _ in range(rng.randint(4, 12))), "ru") for k in range(lists)]
+
+
+@pytest.mark.parametrize(("prose", "lists"), [(300, 20), (200, 100), (60, 240), (0, 50)])
+def test_no_list_is_lost_however_many_there_are(spark, tmp_path, prose: int, lists: int) -> None:
+    spark.createDataFrame(WORDS, "lang string, word string").write.parquet(str(tmp_path / "common_word.parquet"))
+    spark.createDataFrame(_mixture(prose, lists), "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {(r.doc_id, r.form) for r in queries.p9_found(spark, str(tmp_path)).collect()} == {(10_000 + k, "list") for k in range(lists)}
+
+
+def test_the_gate_decides_about_most_prose(spark) -> None:
+    docs = spark.createDataFrame(_mixture(300, 60), "doc_id long, text string, lang string")
+    common = spark.createDataFrame(WORDS, "lang string, word string")
+    by_lang = quality._frequent_words(common)
+    fields = (docs, "doc_id", "text", "lang", by_lang)
+    ranks = quality.fit_ranks(*fields)
+    gates = quality.fit_gates(*fields, ranks)
+    passed = [r.id for r in quality._judge(*fields, ranks, gates).where("form is not null").collect()]
+    assert sum(i < 10_000 for i in passed) < 0.3 * 300 and sum(i >= 10_000 for i in passed) == 60
 
 
 def test_copies_of_one_list_are_found(spark, tmp_path) -> None:
@@ -173,7 +220,7 @@ def test_copies_of_one_list_are_found(spark, tmp_path) -> None:
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert {(r.doc_id, r.form) for r in queries.p9_found(spark, str(tmp_path)).collect()} == {(100 + i, "list") for i in range(90)}
-    score = lambda d: quality.outlier_scores(quality.document_statistics(d, "doc_id", "text", "lang", common)).where("id = 100").first().score
+    score = lambda d: quality.outlier_scores(d, "doc_id", "text", "lang", common).where("id = 100").first().score
     assert score(docs) == pytest.approx(score(docs.where("doc_id <= 100")))
 
 
