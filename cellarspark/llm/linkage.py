@@ -1,12 +1,11 @@
 """P2: match the pages of one table to the records of another that shares no key with it.
 
-Both sides become sets of terms over all attributes (label words, their one-letter deletions, maker,
-colour, grape).  Rare label terms of the records form an inverted index; a page meets every record with
-which it shares one, and each meeting gets its whole BM25 score.  A record that shares no rare label term
-with a page scores at most the sum of the page's other terms; where the page's second best is below that
-bound, the two best records by those other terms are met too (`best_by_rest`), so the two best of all
-records that share any label term are exact, however many records own a term.  The best record is kept if the page is also near the record's own best
-(mutual-nearest test); confidence comes from the score gap through a fitted logistic curve.
+Both sides become sets of terms over all attributes (label words, their one-letter deletions in Latin and in the own script,
+maker, grape).  The records form an inverted index in blocks; every page meets every block, its BM25 scores are summed along
+the postings of all its terms, and blocks whose bound is below the page's second best are skipped, so the two best records
+are exact however many records own a term.  The best record is kept if the page is also near the record's own best
+(mutual-nearest test) and if the confidence is high enough: a logistic curve of the score gap and of the parts of the label
+that the page's name and the whole page cover, calibrated on a bounded sample labelled by an exact comparison of words.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellarspark.llm import lookalike, mojibake
+from cellarspark.llm import boilerplate, lookalike, mojibake
 from cellarspark.llm.canonical import Trie, romanise
 from cellarspark.plans.lineage import cut
 
@@ -33,24 +32,22 @@ NOISE = frozenset(
 )
 # ---- end of fixed values ----
 
-#: a label term that more records than this share is searched in the second pass only; the results do not depend on it
-RARE = 256
 K1 = 1.2
 #: weight of a one-letter deletion beside a whole word
 DELETION = 0.35
 #: the page's score with its best record, as a part of the best score that record has with any page
-MUTUAL = 0.08
-#: records in one block of the second pass, and sets of terms in one block
-RECORD_BLOCK, SET_BLOCK = 50_000, 1_000
-#: characters of the longest line that may be a title or data
-LINE = 600
-#: rows on which the confidence curve is fitted, at most
+MUTUAL = 0.15
+#: records in one block of the index, and pages that meet a block at once
+RECORD_BLOCK, PAGE_BLOCK = 50_000, 2_000
+#: a pair is a match from this confidence on
+CONFIDENT = 0.5
+#: what the confidence is read from
+EVIDENCE = ("gap", "cover", "cover * cover", "told", "cover * told", "gap * cover")
+#: rows on which the confidence curve is fitted, about
 CALIBRATION_ROWS = 20_000
 
 _WORD = re.compile(r"[^\W\d_]+")
-LABELS = ("С этим покупают", "Похожие товары")
 _TITLE = re.compile(r"[A-ZА-ЯЁ][^\W\d_]+(?: [A-ZА-ЯЁ][^\W\d_]+){1,4}")
-_RELATED = re.compile("(?:" + "|".join(map(re.escape, LABELS)) + ")", re.I)
 _KIND = re.compile(r"Категория и цвет\s*[—–:-]\s*([^;\n]+)")
 _MAKER = re.compile(r"Производитель\s*[:—–-]\s*([^;\n]+)")
 _SLUG = re.compile(r"/([a-z]+(?:-[a-z]+){1,7})(?:-\d+)?/?$")
@@ -88,53 +85,47 @@ def slug_label(slug: str | None) -> list[str]:
 
 def record_terms(slug: str | None, name: str | None, winery: str | None, grape: str | None) -> tuple[str, list[str]]:
     """(the label in Latin spelling, terms) of a record."""
-    label = slug_label(slug) or [w for w in words_of(name) if w not in COLOURS][:3]
+    label = slug_label(slug) or [w for w in words_of(name) if w not in COLOURS]
+    # words that name the maker tell nothing about which of its labels this is
+    house = set(words_of(winery))
+    label = [w for w in label if w not in house] or label
     terms = [f"l:{w}" for w in label]
     terms += [f"d:{k}" for w in label[-1:] if len(w) >= 5 for k in deletions(w)]
     terms += own_script([w for w in _WORD.findall(name or "") if label and romanise(w) == label[-1]][:1])
-    terms += [f"m:{w}" for w in words_of(winery)] + [f"g:{w}" for w in words_of(grape)[:8] if len(w) > 3]
+    terms += [f"m:{w}" for w in words_of(winery)] + [f"g:{w}" for w in words_of(grape) if len(w) > 3]
     return " ".join(label), list(dict.fromkeys(terms))
 
 
-def telling_lines(text: str | None) -> str:
-    """The lines of a page that can be its title or data: those no longer than a title or data line shown in the widest wrong
-    encoding; only paragraphs are longer."""
-    return "\n".join(x for x in (text or "").split("\n") if len(x) <= LINE)
-
-
-def heading(text: str) -> str:
-    """The page's first title line before any list of other goods, as written; '' if none."""
+def headings(text: str, own: frozenset[str]) -> list[str]:
+    """The titles a page gives itself: lines, or the last steps of a row of links, that are a name of two to five words found
+    in the page's own fields (`own`, their letter triples)."""
+    out = []
     for line in text.split("\n"):
-        s = " ".join(line.split())
-        if _RELATED.match(s):
-            break
-        if _TITLE.fullmatch(s) and len(s.split()) == 3:
-            return s
-    return ""
+        piece = re.split(r"\s[|·»>→•/]\s", " ".join(line.split()))[-1]
+        if _TITLE.fullmatch(piece) and piece not in out:
+            t = boilerplate.triples(piece)
+            if len(t & own) >= boilerplate.OWN * len(t):
+                out.append(piece)
+    return out
 
 
-def page_terms(name: str, winery: str, colour: str, grape: str, address: str, text: str, lossy: bool) -> tuple[list[str], list[str], dict]:
-    """(rare-label terms to search by, all terms, evidence for the exact check) of a page of restored, unified fields."""
-    shown = heading(text)
-    title = " ".join(romanise(w) for w in shown.split())
+def page_terms(name: str, winery: str, colour: str, grape: str, address: str, text: str) -> tuple[list[str], list[str], dict]:
+    """(all terms, the terms of the name, evidence for the calibration) of a page of restored, unified fields."""
     m = _SLUG.search(address or "")
-    path = " ".join(slug_label(m[1])) if m else ""
+    path = slug_label(m[1]) if m else []
     words = words_of(name)
-    label = list(dict.fromkeys([*words, *title.split(), *path.split()]))
-    search = [f"l:{w}" for w in label if len(w) >= 4]
-    exact = title or path
-    if not exact:
-        search += [f"d:{k}" for w in words if len(w) >= 5 for k in deletions(w)]
-        search += own_script([w for w in _WORD.findall(name) if w.lower() not in NOISE])
-    else:
-        search += [f"d:{k}" for w in exact.split()[-1:] if len(w) >= 5 for k in deletions(w)]
-        search += own_script(shown.split()[-1:])
+    titles = headings(text, boilerplate.triples(" ".join([name, *path])))
+    title = [romanise(w) for t in titles for w in t.split()]
+    label = list(dict.fromkeys([*words, *title, *path]))
+    spelled = lambda ws: [f"l:{w}" for w in ws] + [f"d:{k}" for w in ws if len(w) >= 5 for k in deletions(w)]
+    said = spelled(words) + own_script([w for w in _WORD.findall(name) if w.lower() not in NOISE])
     maker = _MAKER.search(text)
-    every = search + [f"m:{w}" for w in dict.fromkeys([*words, *words_of(winery), *words_of(maker[1] if maker else "")])]
+    every = said + spelled(label) + own_script([w for t in titles for w in t.split()])
+    every += [f"m:{w}" for w in dict.fromkeys([*words, *words_of(winery), *words_of(maker[1] if maker else "")])]
     every += [f"g:{w}" for w in dict.fromkeys([*words, *words_of(grape)]) if len(w) > 3]
     kind = _KIND.search(text)
     told = colour_of(kind[1]) if kind else ""
-    return list(dict.fromkeys(search)), list(dict.fromkeys(every)), {"words": " ".join(words), "title": title, "path": path, "colour": told or colour_of(name) or colour_of(colour), "lossy": lossy, "shown": shown, "name": name}
+    return list(dict.fromkeys(every)), list(dict.fromkeys(said)), {"words": " ".join(words), "title": " ".join(romanise(w) for w in titles[0].split()) if titles else "", "colour": told or colour_of(name) or colour_of(colour)}
 
 
 def near(word: str, target: str, most: int) -> bool:
@@ -146,50 +137,38 @@ def near(word: str, target: str, most: int) -> bool:
     return bool(Trie([]).add(target, 1).search(word, most))
 
 
-def survives(damaged: str, title: str) -> bool:
-    """Whether a name that lost letters can be the name of this title: its last word with some letters gone, or half of the
-    title's letters in order."""
-    word = "".join(f"[{re.escape(c)}?\ufffd]" for c in title.split()[-1].lower())
-    if re.search(word, damaged.lower()):
-        return True
-    blocks = SequenceMatcher(None, damaged.lower(), title.lower(), autojunk=False).get_matching_blocks()
-    return 2 * sum(b.size for b in blocks) >= len(title)
-
-
-def same_label(label: str, e: dict) -> bool:
-    """The exact check of a retrieved label against a page's evidence."""
-    parts, words = label.split(), e["words"].split()
+def same_label(label: str, words: str, title: str) -> bool:
+    """Whether a name's words are those of a label by an exact comparison: all of them, or the last within two edits (three
+    where the page's title is the label) and the others within one or two."""
+    parts, said = label.split(), words.split()
     if not parts:
         return False
-    if all(p in words for p in parts):
+    if all(p in said for p in parts):
         return True
     proper = parts[-1]
-    named = any(near(w, proper, 3 if len(proper) > 7 else 2) for w in words)
-    if e["title"] == label or e["path"] == label:
-        return named or e["lossy"] and (not e["title"] or survives(e["name"], e["shown"]))
-    if e["title"] and len(e["title"].split()) == len(parts):
-        return False
-    if e["path"] and len(e["path"].split()) == len(parts):
-        return False
-    close = any(near(w, proper, 2 if len(proper) > 6 else 1) for w in words)
-    return close and all(any(near(w, p, 2 if len(p) > 5 else 1) for w in words) for p in parts[:-1])
-
-
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(intercept, slope) of a logistic curve by Newton's method with a small ridge; a flat curve where y has one value."""
-    if len(x) == 0 or y.min() == y.max():
-        return (4.0 if len(y) and y.max() == 1 else -4.0), 0.0
-    a = np.column_stack([np.ones_like(x), x])
-    w = np.zeros(2)
-    for _ in range(30):
+    if title == label:
+        return any(near(w, proper, 3 if len(proper) > 7 else 2) for w in said)
+    close = any(near(w, proper, 2 if len(proper) > 6 else 1) for w in said)
+    return close and all(any(near(w, p, 2 if len(p) > 5 else 1) for w in said) for p in parts[:-1])
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights (intercept first) of a logistic curve by Newton's method with a small ridge; a flat curve where y has one value."""
+    x = np.asarray(x, dtype=float)
+    w = np.zeros(x.shape[1] + 1)
+    if len(y) == 0 or y.min() == y.max():
+        w[0] = 4.0 if len(y) and y.max() == 1 else -4.0
+        return w
+    a = np.column_stack([np.ones(len(x)), x])
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         grad = a.T @ (y - p) - 1e-3 * w
-        hess = (a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
+        hess = (a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(a.shape[1])
         step = np.linalg.solve(hess, grad)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 def records(catalog: DataFrame) -> DataFrame:
@@ -217,57 +196,77 @@ def records(catalog: DataFrame) -> DataFrame:
     return first.mapInArrow(build, "row_idx long, label string, maker string, colour string, terms array<string>").where("label <> ''")
 
 
-def best_by_rest(sets: DataFrame, rest: DataFrame, total: int) -> DataFrame:
-    """(terms, record): for each set of terms the two best records by the summed weight of the terms they own, of the records
-    that own a label term of the set; equal sums go to the smaller record.
-
-    `rest` has (term, record, idf, of_label).  Blocks of records meet blocks of sets; each meeting leaves two records a set.
-    """
+def index_blocks(classes: DataFrame, total: int) -> DataFrame:
+    """(block, record, keys, starts, rows, weights, labelled, own) of `classes` (record, terms): the inverted index in blocks
+    of about RECORD_BLOCK records, packed as arrays.  A term weighs its BM25 idf over all records (term frequency one)."""
     blocks = max(1, -(-total // RECORD_BLOCK))
-    parts = F.pmod(F.xxhash64("record"), F.lit(blocks))
-    side = rest.groupBy(parts.alias("block")).agg(F.collect_list("term").alias("term"), F.collect_list("record").alias("record"), F.collect_list("idf").alias("idf"), F.collect_list("of_label").alias("of_label")).drop("block")
-    n = max(1, -(-sets.count() // SET_BLOCK))
-    packed = sets.groupBy(F.pmod(F.xxhash64("terms"), F.lit(n)).alias("block")).agg(F.collect_list("terms").alias("sets")).drop("block").repartition(n)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                term, record, idf, of_label = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(1, 5))
-                names, at = np.unique(record, return_inverse=True)
-                by_term = np.argsort(term, kind="stable")
-                keys, starts = np.unique(term[by_term], return_index=True)
-                owners = {int(k): (at[x], float(idf[x[0]]), bool(of_label[x[0]])) for k, x in zip(keys, np.split(by_term, starts[1:]))}
-                out: list[tuple[list[int], int, float]] = []
-                for terms in b.column(0)[i].as_py():
-                    own = [owners[t] for t in terms if t in owners]
-                    if not any(o[2] for o in own):
-                        continue
-                    total_of, may = np.zeros(len(names)), np.zeros(len(names), dtype=bool)
-                    for rows, w, labelled in own:
-                        total_of[rows] += w
-                        if labelled:
-                            may[rows] = True
-                    total_of[~may] = -1.0
-                    for _ in range(2):
-                        k = int(total_of.argmax())
-                        if total_of[k] >= 0:
-                            out.append((terms, int(names[k]), float(total_of[k])))
-                            total_of[k] = -1.0
-                cols = zip((0, 1, 2), (pa.list_(pa.int64()), pa.int64(), pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in cols], names=["terms", "record", "sum"])
-
-    met = packed.crossJoin(side).select("sets", "term", "record", "idf", "of_label").mapInArrow(meet, "terms array<long>, record long, sum double")
-    order = Window.partitionBy("terms").orderBy(F.desc("sum"), "record")
-    return met.withColumn("at", F.row_number().over(order)).where("at <= 2").select("terms", "record")
+    postings = classes.select("record", F.explode("terms").alias("t")).select("record", F.xxhash64("t").alias("term"), F.substring("t", 1, 1).alias("kind"))
+    df = postings.groupBy("term", "kind").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.when(F.col("kind").isin("d", "c"), DELETION).otherwise(1.0)
+    weighted = postings.join(df, ["term", "kind"]).select("record", "term", "kind", idf.alias("w")).withColumn("block", F.pmod(F.xxhash64("record"), F.lit(blocks)).cast("int"))
+
+    def pack(g):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        record, row = np.unique(g["record"].to_numpy(np.int64), return_inverse=True)
+        g = g.assign(row=row).sort_values(["term", "row"], kind="stable")
+        keys, starts = np.unique(g["term"].to_numpy(np.int64), return_index=True)
+        kinds = g["kind"].to_numpy()[starts]
+        # what a label weighs, spelled out
+        own = np.bincount(g["row"], weights=np.where(g["kind"] == "l", g["w"], 0.0), minlength=len(record))
+        parts = (record, keys, np.append(starts, len(g)).astype(np.int64), g["row"].to_numpy(np.int32), g["w"].to_numpy(np.float64)[starts], np.isin(kinds, ("l", "d", "c")), own)
+        return pd.DataFrame([[int(g["block"].iloc[0]), *(p.tobytes() for p in parts)]], columns=["block", *PARTS])
+
+    return weighted.groupBy("block").applyInPandas(pack, "block int, " + ", ".join(f"{p} binary" for p in PARTS))
+
+
+#: arrays of a block and their types
+PARTS = {"record": np.int64, "keys": np.int64, "starts": np.int64, "rows": np.int32, "weights": np.float64, "labelled": np.bool_, "own": np.float64}
+
+
+def best_two(block: dict[str, np.ndarray], terms: np.ndarray, said: np.ndarray, total: np.ndarray) -> list[tuple[int, float, float, float]]:
+    """(record, score, parts of its label covered by `said` and by all `terms`) of the two best records of a block that share a label term with
+    the page; equal scores go to the smaller record.  `total` is a vector of zeros for the block, and is one again afterwards."""
+    keys = block["keys"]
+    at = np.searchsorted(keys, terms)
+    at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == terms)] if len(keys) else at[:0]
+    starts = block["starts"]
+    label = at[block["labelled"][at]]
+    if not len(label):
+        return []
+    touched = []
+    for k in at:
+        rows = block["rows"][starts[k] : starts[k + 1]]
+        total[rows] += block["weights"][k]
+        if block["labelled"][k]:
+            touched.append(rows)
+    may = np.unique(np.concatenate(touched))
+    scores = total[may]
+    for k in at:
+        total[block["rows"][starts[k] : starts[k + 1]]] = 0.0
+    out = []
+    for _ in range(min(2, len(may))):
+        j = int(scores.argmax())
+        row, covered, told = may[j], 0.0, 0.0
+        for k, named in zip(label, np.isin(keys[label], said)):
+            rows = block["rows"][starts[k] : starts[k + 1]]
+            i = np.searchsorted(rows, row)
+            if i < len(rows) and rows[i] == row:
+                told += block["weights"][k]
+                covered += block["weights"][k] * named
+        own = max(1e-9, block["own"][row])
+        out.append((int(block["record"][row]), float(scores[j]) * (K1 + 1) / (1 + K1), min(1.0, covered / own), min(1.0, told / own)))
+        scores[j] = -1.0
+    return out
 
 
 def link(pages: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(cache_id, row_idx, score, gap, mutual, checked, confidence): the best record of each page that has any.
+    """(cache_id, row_idx, score, gap, cover, told, mutual, fits, confidence): the best record of each page that has any.
 
     `pages` has (cache_id, name, winery, color, grape, source, text), `catalog` (row_idx, slug, name, winery, grape, color,
     category); any of them may be NULL or empty.  Pages that share no label term with any record, and all pages for an
-    empty catalog, give no row.  Equal scores go to the smaller label, equal colours to the smaller row_idx.  Repeated pages
-    give repeated results.
+    empty catalog, give no row.  Equal scores go to the smaller record key, equal colours to the smaller row_idx.  Repeated
+    pages give repeated results.
     """
     counts = mojibake.fit_bigrams(pages, ["name", "text"])
     chars = lookalike.character_counts(pages, "name")
@@ -275,73 +274,74 @@ def link(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, norm = mojibake.Bigrams(counts), lookalike.Normaliser(chars)
         strings = pa.list_(pa.string())
-        schema = pa.schema([("cache_id", pa.int64()), ("search", strings), ("every", strings), ("words", pa.string()), ("title", pa.string()), ("path", pa.string()), ("colour", pa.string()), ("lossy", pa.bool_()), ("shown", pa.string()), ("name", pa.string())])
+        schema = pa.schema([("cache_id", pa.int64()), ("every", strings), ("said", strings), ("words", pa.string()), ("title", pa.string()), ("colour", pa.string())])
         for b in batches:
             out = []
             for r in b.to_pylist():
-                name, _, lost = mojibake.repair(r["name"], model)
-                text = mojibake.repair(telling_lines(r["text"]), model)[0] or ""
-                name = lookalike.normalise(name, norm)[0] or ""
-                search, every, e = page_terms(name, r["winery"] or "", r["color"] or "", r["grape"] or "", r["source"] or "", text, lost)
-                out.append({"cache_id": r["cache_id"], "search": search, "every": every, **e})
+                name = lookalike.normalise(mojibake.repair(r["name"], model)[0], norm)[0] or ""
+                text = mojibake.repair(r["text"], model)[0] or ""
+                every, said, e = page_terms(name, r["winery"] or "", r["color"] or "", r["grape"] or "", r["source"] or "", text)
+                out.append({"cache_id": r["cache_id"], "every": every, "said": said, **e})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     source = pages.select("cache_id", "name", "winery", "color", "grape", "source", "text")
     hashed = lambda c: F.transform(c, lambda t: F.xxhash64(t))
-    asked = source.mapInArrow(build, "cache_id long, search array<string>, every array<string>, words string, title string, path string, colour string, lossy boolean, shown string, name string")
-    asked = cut(asked.withColumn("search", hashed("search")).withColumn("every", hashed("every")).withColumn("page", F.monotonically_increasing_id()))
+    asked = source.mapInArrow(build, "cache_id long, every array<string>, said array<string>, words string, title string, colour string")
+    asked = cut(asked.withColumn("every", hashed("every")).withColumn("said", hashed("said"))).withColumn("page", F.monotonically_increasing_id())
 
     cards = cut(records(catalog))
-    classes = cards.groupBy("label", "maker").agg(F.min(F.struct(F.lit(0), "terms")).alias("t")).select("label", "maker", F.xxhash64("label", "maker").alias("record"), F.col("t.terms").alias("terms"))
-    postings = classes.select("record", F.explode("terms").alias("term")).select("record", F.xxhash64("term").alias("term"), F.substring("term", 1, 1).alias("kind"))
+    # copies and colours of a label are one record with the terms of all of them
+    terms = cards.select("label", "maker", F.explode("terms").alias("t")).distinct()
+    classes = terms.groupBy("label", "maker").agg(F.collect_list("t").alias("terms")).withColumn("record", F.xxhash64("label", "maker"))
+    classes = cut(classes)
     total = classes.count()
-    df = postings.groupBy("term", "kind").agg(F.count("*").alias("df"))
-    weighted = postings.join(df, ["term", "kind"]).withColumn("idf", F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.when(F.col("kind").isin("d", "c"), DELETION).otherwise(1.0))
-    weighted = cut(weighted)
-    label_term = F.col("kind").isin("l", "d", "c")
-    seed = label_term & (F.col("df") <= RARE)
-    rare = weighted.where(seed).select("term", "record")
-    # BM25 with a term frequency of one, as terms are sets; short and long records alike
-    profile = weighted.groupBy("record").agg(F.collect_list(F.struct("term", (F.col("idf") * (K1 + 1) / (1 + K1)).alias("w"))).alias("profile"), F.sum("idf").alias("self"))
-
-    def score(pairs: DataFrame) -> DataFrame:
-        whole = F.aggregate("profile", F.lit(0.0), lambda s, t: s + F.when(F.array_contains("every", t["term"]), t["w"]).otherwise(0.0))
-        return pairs.join(asked.select("page", "every"), "page").join(profile, "record").select("page", "record", whole.alias("score"), "self")
+    index = cut(index_blocks(classes, total))
 
-    order = Window.partitionBy("page").orderBy(F.desc("score"), "record")
-    two_best = lambda df: df.withColumn("at", F.row_number().over(order)).where("at <= 2")
-    met = asked.select("page", F.explode("search").alias("term")).join(rare, "term").select("page", "record").distinct()
-    first = cut(two_best(score(met)).drop("at"))
-    floor = first.groupBy("page").agg(F.when(F.count("*") == 2, F.min("score")).otherwise(0.0).alias("floor"))
-    # the other terms: a set of them has the same two best records on whatever page it occurs
-    rest = weighted.where(~seed).select("term", "record", "idf", label_term.alias("of_label"))
-    owned = rest.groupBy("term").agg(F.first("idf").alias("idf"), F.first("of_label").alias("of_label"))
-    own = asked.select("page", F.explode("every").alias("term")).join(owned, "term").groupBy("page").agg(F.sum("idf").alias("bound"), F.max("of_label").alias("of_label"), F.sort_array(F.collect_list("term")).alias("terms"))
-    open_pages = cut(own.where("of_label").join(floor, "page", "left").where(F.col("bound") >= F.coalesce("floor", F.lit(0.0)) - 1e-6).select("page", "terms"))
-    by_set = best_by_rest(open_pages.select("terms").distinct(), rest, total)
-    more = open_pages.join(by_set, "terms").select("page", "record").join(first.select("page", "record"), ["page", "record"], "left_anti")
-    best = two_best(first.unionByName(score(more)))
-    top = best.groupBy("page").agg(F.max_by("record", F.struct("score", -F.col("at"))).alias("record"), F.max("score").alias("score"), F.max_by("self", F.struct("score", -F.col("at"))).alias("self"), F.min(F.when(F.col("at") == 2, F.col("score"))).alias("second"))
-    top = top.withColumn("gap", (F.col("score") - F.coalesce("second", F.lit(0.0))) / F.col("self"))
-    top = cut(top)
-    peak = top.groupBy("record").agg(F.max("score").alias("peak"))
-    near_both = top.join(peak, "record").withColumn("mutual", F.col("score") >= MUTUAL * F.col("peak"))
-    full = near_both.join(asked.drop("search", "every"), "page").join(classes.select("record", "label", "maker"), "record")
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.schema([("page", pa.list_(pa.int64())), ("every", pa.list_(pa.list_(pa.int64()))), ("said", pa.list_(pa.list_(pa.int64())))])
+        for b in batches:
+            for i in range(0, b.num_rows, PAGE_BLOCK):
+                part = b.slice(i, PAGE_BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(c).to_pylist()], whole.field(c).type) for c in range(3)], schema=whole)
+
+    bundles = asked.select("page", "every", "said").mapInArrow(bundle, "page array<long>, every array<array<long>>, said array<array<long>>")
+    # one block is small by RECORD_BLOCK and is broadcast; several meet the bundles in a Cartesian product
+    met = bundles.crossJoin(F.broadcast(index) if total <= RECORD_BLOCK else index)
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = [same_label(r["label"], r) for r in b.select(["label", "words", "title", "path", "lossy", "shown", "name"]).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(good, pa.bool_())], names=[*b.schema.names, "labelled"])
+            for i in range(b.num_rows):
+                block = {p: np.frombuffer(b.column(p)[i].as_buffer(), dtype=kind) for p, kind in PARTS.items()}
+                zeros = np.zeros(len(block["record"]))
+                out: list[tuple] = []
+                for page, every, said in zip(b.column("page")[i].as_py(), b.column("every")[i], b.column("said")[i]):
+                    mine = np.sort(every.values.to_numpy(zero_copy_only=False))
+                    out += [(page, *x) for x in best_two(block, mine, said.values.to_numpy(zero_copy_only=False), zeros)]
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], names=["page", "record", "score", "cover", "told"])
 
-    kept = full.select("page", "cache_id", "label", "maker", "colour", "score", "gap", "mutual", "words", "title", "path", "lossy", "shown", "name")
-    labelled = kept.mapInArrow(check, "page long, cache_id long, label string, maker string, colour string, score double, gap double, mutual boolean, words string, title string, path string, lossy boolean, shown string, name string, labelled boolean")
+    order = Window.partitionBy("page").orderBy(F.desc("score"), "record")
+    two = met.mapInArrow(meet, "page long, record long, score double, cover double, told double").withColumn("at", F.row_number().over(order)).where("at <= 2")
+    first = lambda c: F.max(F.when(F.col("at") == 1, F.col(c)))
+    top = two.groupBy("page").agg(first("record").alias("record"), first("score").alias("score"), first("cover").alias("cover"), first("told").alias("told"), F.max(F.when(F.col("at") == 2, F.col("score"))).alias("second"))
+    top = cut(top.withColumn("gap", (F.col("score") - F.coalesce("second", F.lit(0.0))) / F.col("score")))
+    peak = top.groupBy("record").agg(F.max("score").alias("peak"))
     # the cards of one label by colour: a handful, the smallest row of each
     of_label = cards.groupBy("label", "maker", "colour").agg(F.min("row_idx").alias("row_idx")).groupBy("label", "maker").agg(F.sort_array(F.collect_list(F.struct("row_idx", "colour"))).alias("cards"))
+    of_record = of_label.withColumn("record", F.xxhash64("label", "maker")).drop("maker").join(peak, "record")
+    pairs = top.join(of_record, "record").join(asked.drop("every", "said"), "page").withColumn("mutual", F.col("score") >= MUTUAL * F.col("peak"))
     fits = F.filter("cards", lambda c: (F.col("colour") == "") | (c["colour"] == "") | (c["colour"] == F.col("colour")))
     same = F.filter("fits", lambda c: c["colour"] == F.col("colour"))
-    chosen = labelled.join(of_label, ["label", "maker"]).withColumn("fits", fits)
-    chosen = chosen.withColumn("card", F.when(F.size(same) > 0, same[0]).when(F.size("fits") > 0, F.col("fits")[0]))
-    out = cut(chosen.select("cache_id", F.coalesce(F.col("card.row_idx"), F.col("cards")[0]["row_idx"]).alias("row_idx"), "score", "gap", "mutual", (F.col("labelled") & F.col("card").isNotNull()).alias("checked")))
-    sample = out.select("gap", "checked").limit(CALIBRATION_ROWS).toPandas()
-    a, b = fit_curve(sample["gap"].to_numpy(float), sample["checked"].to_numpy(float))
-    return out.withColumn("confidence", 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("gap")))))
+    pairs = pairs.withColumn("fits", fits).withColumn("card", F.when(F.size(same) > 0, same[0]).when(F.size("fits") > 0, F.col("fits")[0]))
+    out = cut(pairs.select("cache_id", F.coalesce(F.col("card.row_idx"), F.col("cards")[0]["row_idx"]).alias("row_idx"), "score", "gap", "cover", "told", "mutual", F.col("card").isNotNull().alias("fits"), "label", "words", "title"))
+    w = _calibrated(out)
+    z = sum((F.lit(float(k)) * F.expr(x) for k, x in zip(w[1:], EVIDENCE)), F.lit(float(w[0])))
+    return out.select("cache_id", "row_idx", "score", "gap", "cover", "told", "mutual", "fits", (1 / (1 + F.exp(-z))).alias("confidence"))
+
+
+def _calibrated(pairs: DataFrame) -> np.ndarray:
+    """The curve's weights from about CALIBRATION_ROWS pairs, drawn by a hash and labelled by `same_label`."""
+    rare = max(1, -(-pairs.count() // CALIBRATION_ROWS))
+    drawn = pairs.where(F.pmod(F.xxhash64("cache_id"), F.lit(rare)) == 0).select(*[F.expr(x).alias(f"x{k}") for k, x in enumerate(EVIDENCE)], "label", "words", "title").collect()
+    x = np.array([r[: len(EVIDENCE)] for r in drawn], dtype=float).reshape(len(drawn), len(EVIDENCE))
+    return fit_curve(x, np.array([same_label(r.label, r.words, r.title) for r in drawn], dtype=float))

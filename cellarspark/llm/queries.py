@@ -154,4 +154,4 @@ def p2_links(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pages about one wine of the catalog, with its card."""
-    return p2_links(spark, folder).where("mutual and checked").select("row_idx", "cache_id")
+    return p2_links(spark, folder).where(f"mutual and fits and confidence >= {linkage.CONFIDENT}").select("row_idx", "cache_id")

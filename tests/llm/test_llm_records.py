@@ -243,24 +243,57 @@ PAGES = [
 ]
 
 
+CARD = "row_idx long, slug string, name string, winery string, grape string, color string, category string"
+PAGE = "cache_id long, name string, winery string, color string, grape string, source string, text string"
+MATCH = f"mutual and fits and confidence >= {linkage.CONFIDENT}"
+
+
 def test_links(spark) -> None:
-    cards = spark.createDataFrame(CARDS, "row_idx long, slug string, name string, winery string, grape string, color string, category string").withColumn("score", F.lit(1))
-    pages = spark.createDataFrame(PAGES, "cache_id long, name string, winery string, color string, grape string, source string, text string").withColumn("page", F.lit("x"))
-    out = linkage.link(pages, cards).where("checked").collect()
+    cards = spark.createDataFrame(CARDS, CARD).withColumn("score", F.lit(1))
+    pages = spark.createDataFrame(PAGES, PAGE).withColumn("page", F.lit("x"))
+    out = linkage.link(pages, cards).where(MATCH).collect()
     assert sorted((r.cache_id, r.row_idx) for r in out) == [(10, 0), (11, 1), (12, 2), (12, 2)]
     assert all(0 < r.confidence < 1 for r in out)
     assert linkage.link(pages, cards.limit(0)).count() == 0
     assert linkage.link(pages.limit(0), cards).count() == 0
 
 
-def test_links_do_not_depend_on_rarity(spark, monkeypatch) -> None:
-    """Cards that only terms of many owners find are met too, and a wrong Cyrillic letter finds its card."""
-    cards = spark.createDataFrame(CARDS, "row_idx long, slug string, name string, winery string, grape string, color string, category string")
-    rows = [*PAGES, (20, "Тихий Хутор Балоражен белое", "", "", "", "", "")]
-    pages = spark.createDataFrame(rows, "cache_id long, name string, winery string, color string, grape string, source string, text string")
+def test_links_do_not_depend_on_blocks(spark, monkeypatch) -> None:
+    """The same pairs, scores and confidences whatever the blocks; a wrong Cyrillic letter finds its card."""
+    cards = spark.createDataFrame(CARDS, CARD)
+    pages = spark.createDataFrame([*PAGES, (20, "Тихий Хутор Балоражен белое", "", "", "", "", "")], PAGE)
     got = {}
-    for rare in (256, 1, 0):
-        monkeypatch.setattr(linkage, "RARE", rare)
-        got[rare] = sorted((r.cache_id, r.row_idx, round(r.score, 9), round(r.gap, 9), r.checked) for r in linkage.link(pages, cards).collect())
-    assert got[256] == got[1] == got[0]
-    assert (20, 0) in {g[:2] for g in got[0] if g[4]}
+    for record, page in ((50_000, 2_000), (1, 2), (2, 1)):
+        monkeypatch.setattr(linkage, "RECORD_BLOCK", record)
+        monkeypatch.setattr(linkage, "PAGE_BLOCK", page)
+        got[record] = sorted((r.cache_id, r.row_idx, round(r.score, 9), round(r.gap, 9), round(r.cover, 9), round(r.told, 9), round(r.confidence, 6)) for r in linkage.link(pages, cards).collect())
+    assert got[50_000] == got[1] == got[2]
+    assert (20, 0) in {g[:2] for g in got[1] if g[-1] >= linkage.CONFIDENT}
+
+
+def test_two_best_records_equal_brute_force() -> None:
+    rng = random.Random(8)
+    np = linkage.np
+    for _ in range(30):
+        records = {r: set(rng.sample(range(100, 140), rng.randint(1, 8))) for r in range(rng.randint(1, 25))}
+        keys = np.array(sorted(set().union(*records.values())), dtype=np.int64)
+        owners = [sorted(r for r, t in records.items() if k in t) for k in keys]
+        weights, labelled = np.array([rng.random() for _ in keys]), np.array([rng.random() < 0.6 for _ in keys])
+        block = {"record": np.array(sorted(records), dtype=np.int64), "keys": keys, "starts": np.cumsum([0, *map(len, owners)]), "rows": np.concatenate([np.array(o, dtype=np.int32) for o in owners]), "weights": weights, "labelled": labelled, "own": np.ones(len(records))}
+        terms = np.array(sorted(rng.sample(range(95, 145), 12)), dtype=np.int64)
+        zeros = np.zeros(len(records))
+        got = linkage.best_two(block, terms, terms[:3], zeros)
+        w = {int(k): (x, bool(y)) for k, x, y in zip(keys, weights, labelled)}
+        scores = {r: sum(w[t][0] for t in own & {int(x) for x in terms}) for r, own in records.items() if any(w[t][1] for t in own & {int(x) for x in terms})}
+        want = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:2]
+        assert [(r, round(s, 9)) for r, s, *_ in got] == [(r, round(s, 9)) for r, s in want]
+        assert not zeros.any()
+
+
+def test_all_card_terms_of_a_label_are_kept(spark) -> None:
+    """The grape of any card of a label finds it, and long lines and late grapes are read."""
+    rows = [(0, "tikhiy-khutor-baloraben", "Тихий Хутор Балорабен", "Дом Мокшави", "", "", ""), (1, "tikhiy-khutor-baloraben-2", "Тихий Хутор Балорабен", "Дом Мокшави", ", ".join(["Пухлянка"] * 9 + ["Рубелан"]), "", "")]
+    cards = linkage.records(spark.createDataFrame(rows, CARD)).collect()
+    assert {"g:rubelan"} <= {t for c in cards for t in c.terms} and len({(c.label, c.maker) for c in cards}) == 1
+    title = "Тихий Хутор Балорабен"
+    assert linkage.headings("x " * 500 + "\n" + title, linkage.boilerplate.triples(title)) == [title]
