@@ -1,16 +1,16 @@
-"""Dictionary joins: nearest entry with a lead over the runner-up, unique prefix, suffix and one-edit matches."""
+"""Dictionary joins: nearest entry with a lead over the runner-up, unique prefix, suffix, one-edit and wildcard matches.
+
+All are equi-joins on keys that matching pairs must share, so neither side has to be small."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: a dictionary above this many words is refused, as it is sent to every executor
-MAX_WORDS = 100_000
-
 
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, one big-integer step a letter."""
@@ -33,37 +33,123 @@ def indel(a: str, b: str) -> float:
     return 1.0 if not total else 2.0 * lcs(a, b) / total
 
 
+def _cuts(n: int, parts: int) -> list[tuple[int, int]]:
+    """(start, length) of `parts` runs of nearly equal length."""
+    short, longer = divmod(n, parts)
+    out, at = [], 0
+    for i in range(parts):
+        size = short + (i >= parts - longer)
+        out.append((at, size))
+        at += size
+    return out
+
+
+def shared_keys(word: str, least: float, window: int, entry: bool) -> set[int]:
+    """Keys of a word or a dictionary entry; a word and an entry whose similarity reaches `least` share one.
+
+    At most d letters of both are left out of their common subsequence, so of d + 1 runs of the entry one stands in the word as
+    it is, shifted by no more letters than are left out before it.
+    """
+    out, n = set(), len(word)
+    for other in range(max(1, n - window), n + window + 1):
+        la, lb = (other, n) if entry else (n, other)
+        d = int((1 - least) * (la + lb) + 1e-9)
+        gone, extra = (d - la + lb) // 2, (d + la - lb) // 2
+        if gone < 0 or extra < 0:
+            continue
+        parts = min(lb, gone + extra + 1)
+        for i, (at, size) in enumerate(_cuts(lb, parts)):
+            shifts = (0,) if entry else range(-gone, extra + 1)
+            for k in shifts:
+                if 0 <= at + k <= len(word) - size:
+                    out.add(xxhash.xxh64_intdigest(f"{la} {lb} {i} {word[at + k : at + k + size]}") - (1 << 63))
+    return out
+
+
+def near_pairs(words: DataFrame, dictionary: DataFrame, word: str, key: str, least: float, window: int = 2) -> DataFrame:
+    """(word, key, score) of the distinct pairs whose similarity reaches `least` and whose lengths differ by at most `window`.
+
+    `least` must be above 0.6.  NULL and '' match nothing.  Two shuffles of short keys; the pairs that share one are compared.
+    """
+    if least <= 0.6:
+        raise ValueError("the least similarity must be above 0.6")
+
+    def keyed(entry: bool):  # noqa: ANN202
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = [(w, k) for w in b.column(0).to_pylist() for k in shared_keys(w, least, window, entry)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["w", "k"])
+
+        return keys
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = [indel(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[word, key, "score"])
+
+    once = lambda df, c: df.select(F.col(c).alias("w")).where("w is not null and w <> ''").distinct()
+    left = once(words, word).mapInArrow(keyed(False), "w string, k long")
+    right = once(dictionary, key).mapInArrow(keyed(True), "w string, k long").withColumnRenamed("w", "d")
+    met = left.join(right, "k").select("w", "d").distinct()
+    return met.mapInArrow(compare, f"{word} string, {key} string, score double").where(F.col("score") >= least)
+
+
 def margin_match(words: DataFrame, dictionary: DataFrame, word: str, key: str, least: float, lead: float, window: int = 2, always: bool = False) -> DataFrame:
     """(word, key, score) of each distinct word whose best entry reaches `least` and leads the second by `lead`.
 
     Entries whose length differs by more than `window` are not compared.  With `always` the lead is asked for whatever the
     second's score; else only where the second reaches `least` too.  NULL and '' match nothing, nor does an empty dictionary;
-    of equal entries the smaller is best, and such a tie has no lead.  The dictionary is read by the driver (its size is
-    checked) and sent out; the words are matched where they are after one distinct.
+    of equal entries the smaller is best, and such a tie has no lead.
     """
-    rows = dictionary.select(key).where(f"{key} is not null and {key} <> ''").distinct().limit(MAX_WORDS + 1).collect()
-    if len(rows) > MAX_WORDS:
-        raise ValueError(f"the dictionary has more than {MAX_WORDS} words")
-    by_length: dict[int, list[str]] = {}
-    for r in sorted(r[0] for r in rows):
-        by_length.setdefault(len(r), []).append(r)
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple[str, str, float]] = []
-            for w in b.column(0).to_pylist():
-                scored = sorted(((-indel(w, d), d) for n in range(len(w) - window, len(w) + window + 1) for d in by_length.get(n, ())))[:2]
-                if scored and -scored[0][0] >= least:
-                    best, second = -scored[0][0], -scored[1][0] if len(scored) > 1 else 0.0
-                    if best - second >= lead or not always and second < least:
-                        out.append((w, scored[0][1], best))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=[word, key, "score"])
-
-    return words.select(word).where(f"{word} is not null and {word} <> ''").distinct().mapInArrow(match, f"{word} string, {key} string, score double")
-
-
-def unique_match(words: DataFrame, dictionary: DataFrame, word: str, key: str, target: str, fits: str) -> DataFrame:
-    """(word, target) of each distinct word that fits the entries of exactly one target; `fits` is a condition over both columns."""
-    entries = F.broadcast(dictionary.select(key, target).distinct().limit(MAX_WORDS))
-    met = words.select(word).where(f"{word} is not null and {word} <> ''").distinct().join(entries, F.expr(fits))
+    floor = least - lead if always else least
+    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), key)))
+    ranked = near_pairs(words, dictionary, word, key, floor, window).groupBy(word).agg(best.alias("r"))
+    first, second = -F.col("r")[0]["s"], F.coalesce(-F.get("r", F.lit(1))["s"], F.lit(0.0))
+    leads = (first - second >= lead) | (F.lit(not always) & (second < least))
+    return ranked.where((first >= least) & leads).select(word, F.col("r")[0][key].alias(key), first.alias("score"))
+
+
+def _unique(words: DataFrame, entries: DataFrame, word: str, target: str, key: Column, fits: Column | None = None) -> DataFrame:
+    """(word, target) of the distinct words whose keys meet entries (k, target) of exactly one target."""
+    asked = words.select(word).where(f"{word} is not null and {word} <> ''").distinct().select(word, F.explode(key).alias("k"))
+    met = asked.join(entries, "k")
+    if fits is not None:
+        met = met.where(fits)
     return met.groupBy(word).agg(F.min(target).alias(target), F.max(target).alias("__other")).where(F.col(target) == F.col("__other")).drop("__other")
+
+
+def _entries(dictionary: DataFrame, key: str, target: str, keys: Column) -> DataFrame:
+    """(k, entry, target), one row a key of each distinct entry."""
+    once = dictionary.where(f"{key} is not null and {key} <> '' and {target} is not null").select(F.col(key).alias("entry"), target).distinct()
+    return once.select(F.explode(F.array_distinct(keys)).alias("k"), "entry", target)
+
+
+def unique_affix(words: DataFrame, dictionary: DataFrame, word: str, key: str, target: str, shortest: int, longer: int, suffix: bool = False) -> DataFrame:
+    """(word, target) of each distinct word of `shortest` letters or more that begins (or ends) the entries of exactly one
+    target, which are at most `longer` letters longer; an entry begins and ends itself."""
+    n = F.length("entry")
+    sizes = F.sequence(F.greatest(F.lit(shortest), n - longer), n)
+    part = lambda k: F.substring(F.col("entry"), n - k + 1, k) if suffix else F.substring(F.col("entry"), F.lit(1), k)
+    keys = F.when(n >= shortest, F.transform(sizes, part)).otherwise(F.array().cast("array<string>"))
+    return _unique(words, _entries(dictionary, key, target, keys), word, target, F.array(word))
+
+
+def _deletions(c: Column) -> Column:
+    """A word and its spellings with one letter left out."""
+    left_out = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+    return F.array_distinct(F.concat(F.array(c), left_out))
+
+
+def unique_one_edit(words: DataFrame, dictionary: DataFrame, word: str, key: str, target: str, shortest: int) -> DataFrame:
+    """(word, target) of each distinct word of `shortest` letters or more that is one edit from the entries of exactly one target."""
+    entries = _entries(dictionary, key, target, _deletions(F.col("entry")))
+    return _unique(words.where(F.length(word) >= shortest), entries, word, target, _deletions(F.col(word)), F.levenshtein(word, "entry", 1) == 1)
+
+
+def unique_wildcard(words: DataFrame, dictionary: DataFrame, word: str, key: str, target: str, stray: str, shortest: int) -> DataFrame:
+    """(word, target) of each distinct word with one letter of the pattern `stray` that fits the entries of exactly one target
+    when that letter is read as any."""
+    n = F.length("entry")
+    holes = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(F.col("entry"), F.lit(1), i - 1), F.lit("_"), F.substring(F.col("entry"), i + 1, n)))
+    seen = words.where((F.length(word) >= shortest) & (F.regexp_count(word, F.lit(stray)) == 1))
+    return _unique(seen, _entries(dictionary, key, target, holes), word, target, F.array(F.regexp_replace(word, stray, "_")))

@@ -48,26 +48,31 @@ def near_generic(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"SELECT word, min(canonical) AS canonical FROM {_WORDS} JOIN {_LEX} ON length(word) >= 6 AND starts_with(entry, word) AND length(entry) - length(word) <= 4 GROUP BY 1 HAVING min(canonical) = max(canonical)")
 def prefix_unique(spark: SparkSession, folder: str) -> DataFrame:
     """Observed words that begin exactly one grape."""
-    return fuzzy.unique_match(seen_words(spark, folder), lexicon_words(spark, folder), "word", "entry", "canonical", "length(word) >= 6 and startswith(entry, word) and length(entry) - length(word) <= 4")
+    return fuzzy.unique_affix(seen_words(spark, folder), lexicon_words(spark, folder), "word", "entry", "canonical", 6, 4)
 
 
 @query(f"SELECT word, min(canonical) AS canonical FROM {_WORDS} JOIN {_LEX} ON length(word) >= 5 AND ends_with(entry, word) AND length(entry) - length(word) <= 2 GROUP BY 1 HAVING min(canonical) = max(canonical)")
 def suffix_unique(spark: SparkSession, folder: str) -> DataFrame:
     """Observed words that end exactly one grape, at most two letters short."""
-    return fuzzy.unique_match(seen_words(spark, folder), lexicon_words(spark, folder), "word", "entry", "canonical", "length(word) >= 5 and endswith(entry, word) and length(entry) - length(word) <= 2")
+    return fuzzy.unique_affix(seen_words(spark, folder), lexicon_words(spark, folder), "word", "entry", "canonical", 5, 2, suffix=True)
 
 
 @query(f"SELECT word, min(canonical) AS canonical FROM {_WORDS} JOIN {_LEX} ON length(word) >= 4 AND abs(length(word) - length(entry)) <= 1 AND levenshtein({_one_byte("word")}, {_one_byte("entry")}) = 1 GROUP BY 1 HAVING min(canonical) = max(canonical)")
 def one_edit_unique(spark: SparkSession, folder: str) -> DataFrame:
     """Observed words one edit from exactly one grape."""
-    return fuzzy.unique_match(seen_words(spark, folder), lexicon_words(spark, folder), "word", "entry", "canonical", "length(word) >= 4 and abs(length(word) - length(entry)) <= 1 and levenshtein(word, entry, 1) = 1")
+    return fuzzy.unique_one_edit(seen_words(spark, folder), lexicon_words(spark, folder), "word", "entry", "canonical", 4)
 
 
-@query(f"SELECT word, min(canonical) AS canonical FROM {_WORDS} JOIN {_LEX} ON length(word) >= 5 AND length(word) = length(entry) AND regexp_matches(word, '^[А-Я]+[A-Z][А-Я]+$') AND regexp_replace(word, '[A-Z].*$', '') || '_' || regexp_replace(word, '^.*[A-Z]', '') = regexp_replace(word, '[A-Z].*$', '') || '_' || substr(entry, instr(word, regexp_extract(word, '[A-Z]')) + 1) AND starts_with(entry, regexp_replace(word, '[A-Z].*$', '')) GROUP BY 1 HAVING min(canonical) = max(canonical)")
+_STRAY = f"(SELECT word FROM {_WORDS} UNION SELECT substr(entry, 1, 2) || 'N' || substr(entry, 4) FROM {_LEX})"
+_HOLED = "regexp_replace(word, '[A-Z]', '_')"
+
+
+@query(f"SELECT word, min(canonical) AS canonical FROM {_STRAY} JOIN {_LEX} ON length(word) >= 5 AND length(word) = length(entry) AND regexp_full_match(word, '[А-Я]+[A-Z][А-Я]+') AND entry LIKE {_HOLED} GROUP BY 1 HAVING min(canonical) = max(canonical)")
 def wildcard_snap(spark: SparkSession, folder: str) -> DataFrame:
-    """Cyrillic words with one stray Latin letter, that letter read as any."""
-    fits = "length(word) >= 5 and length(word) = length(entry) and word rlike '^[А-Я]+[A-Z][А-Я]+$' and entry like concat(regexp_replace(word, '[A-Z].*$', ''), '_', regexp_replace(word, '^.*[A-Z]', ''))"
-    return fuzzy.unique_match(seen_words(spark, folder), lexicon_words(spark, folder), "word", "entry", "canonical", fits)
+    """Cyrillic words with one stray Latin letter, that letter read as any: observed ones, and each grape with its third letter lost."""
+    lost = lexicon_words(spark, folder).select(F.concat(F.substring("entry", 1, 2), F.lit("N"), F.substring("entry", 4, 1_000)).alias("word"))
+    words = seen_words(spark, folder).union(lost).where(F.col("word").rlike("^[А-Я]+[A-Z][А-Я]+$"))
+    return fuzzy.unique_wildcard(words, lexicon_words(spark, folder), "word", "entry", "canonical", "[A-Z]", 5)
 
 
 _SIM = "round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))), 6)"

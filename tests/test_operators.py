@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
+import pytest
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -97,3 +101,36 @@ def test_stream_lets_each_event_through_once(spark, tmp_path) -> None:
 
 def test_cut_keeps_rows(spark) -> None:
     assert sorted(r.id for r in cut(spark.range(5)).collect()) == list(range(5))
+
+
+@pytest.mark.parametrize(("least", "window"), [(0.84, 2), (0.80, 2), (0.75, 1)])
+def test_near_pairs_lose_none(spark, least: float, window: int) -> None:
+    rng = random.Random(11)
+    names = ["".join(rng.choices("АБВГД", k=rng.randint(1, 14))) for _ in range(120)]
+    words = [*names[:20], *("".join(c for c in n if rng.random() > 0.1) + rng.choice(["", "А", "Б"]) for n in names)]
+    out = fuzzy.near_pairs(spark.createDataFrame([(w,) for w in [*words, "", None]], "w string"), spark.createDataFrame([(n,) for n in [*names, None]], "n string"), "w", "n", least, window)
+    want = {(w, n) for w in words for n in names if w and n and abs(len(w) - len(n)) <= window and fuzzy.indel(w, n) >= least}
+    assert {(r.w, r.n) for r in out.collect()} == want and out.count() == len(want)
+
+
+def test_unique_joins_equal_brute_force(spark) -> None:
+    rng = random.Random(12)
+    names = sorted({"".join(rng.choices("АБВ", k=rng.randint(3, 8))) for _ in range(60)})
+    target = {n: f"T{i % 25}" for i, n in enumerate(names)}
+    words = [*names[:10], *(n[: rng.randint(2, 8)] for n in names), *(n[rng.randint(0, 2) :] for n in names), *(n[:1] + "N" + n[2:] for n in names)]
+    w = spark.createDataFrame([(x,) for x in [*words, "", None]], "w string")
+    d = spark.createDataFrame([(n, target[n]) for n in names] + [(None, "x"), ("", "y")], "n string, t string")
+
+    def brute(fits):  # noqa: ANN001, ANN202
+        out = {x: {target[n] for n in names if fits(x, n)} for x in words if x}
+        return {(x, min(t)) for x, t in out.items() if len(t) == 1}
+
+    def edits(a: str, b: str) -> bool:
+        return a != b and (len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 1 or any(a == b[:i] + b[i + 1 :] for i in range(len(b))) or any(b == a[:i] + a[i + 1 :] for i in range(len(a))))
+
+    got = lambda df: {tuple(r) for r in df.collect()}
+    assert got(fuzzy.unique_affix(w, d, "w", "n", "t", 3, 2)) == brute(lambda x, n: len(x) >= 3 and n.startswith(x) and len(n) - len(x) <= 2)
+    assert got(fuzzy.unique_affix(w, d, "w", "n", "t", 3, 2, suffix=True)) == brute(lambda x, n: len(x) >= 3 and n.endswith(x) and len(n) - len(x) <= 2)
+    assert got(fuzzy.unique_one_edit(w, d, "w", "n", "t", 4)) == brute(lambda x, n: len(x) >= 4 and edits(x, n))
+    assert got(fuzzy.unique_wildcard(w, d, "w", "n", "t", "[A-Z]", 4)) == brute(lambda x, n: len(x) >= 4 and x.count("N") == 1 and len(x) == len(n) and all(a == b or a == "N" for a, b in zip(x, n)))
+    assert fuzzy.unique_affix(w, d.limit(0), "w", "n", "t", 3, 2).count() == 0
