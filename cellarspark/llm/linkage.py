@@ -1,9 +1,9 @@
 """P2: match the pages of one table to the records of another that shares no key with it.
 
 Both sides become sets of terms over all attributes (label words, their one-letter deletions in Latin and in the own script,
-maker, grape).  The records form an inverted index in blocks; every page meets every block, its BM25 scores are summed along
-the postings of all its terms, and blocks whose bound is below the page's second best are skipped, so the two best records
-are exact however many records own a term.  The best record is kept if the page is also near the record's own best
+maker, grape).  The records form an inverted index in blocks; every page meets every block.  Its label terms are summed along
+their postings, and records that its other terms can not lift over the second best are pruned, so the two best records by
+BM25 are exact however many records own a term.  The best record is kept if the page is also near the record's own best
 (mutual-nearest test) and if the confidence is high enough: a logistic curve of the score gap and of the parts of the label
 that the page's name and the whole page cover, calibrated on a bounded sample labelled by an exact comparison of words.
 """
@@ -48,6 +48,7 @@ CALIBRATION_ROWS = 20_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TITLE = re.compile(r"[A-ZА-ЯЁ][^\W\d_]+(?: [A-ZА-ЯЁ][^\W\d_]+){1,4}")
+_STEP = re.compile(r"\s[|·»>→•/]\s")
 _KIND = re.compile(r"Категория и цвет\s*[—–:-]\s*([^;\n]+)")
 _MAKER = re.compile(r"Производитель\s*[:—–-]\s*([^;\n]+)")
 _SLUG = re.compile(r"/([a-z]+(?:-[a-z]+){1,7})(?:-\d+)?/?$")
@@ -101,8 +102,8 @@ def headings(text: str, own: frozenset[str]) -> list[str]:
     in the page's own fields (`own`, their letter triples)."""
     out = []
     for line in text.split("\n"):
-        piece = re.split(r"\s[|·»>→•/]\s", " ".join(line.split()))[-1]
-        if _TITLE.fullmatch(piece) and piece not in out:
+        piece = _STEP.split(" ".join(line.split()))[-1]
+        if piece[:1].isupper() and _TITLE.fullmatch(piece) and piece not in out:
             t = boilerplate.triples(piece)
             if len(t & own) >= boilerplate.OWN * len(t):
                 out.append(piece)
@@ -225,37 +226,50 @@ PARTS = {"record": np.int64, "keys": np.int64, "starts": np.int64, "rows": np.in
 
 
 def best_two(block: dict[str, np.ndarray], terms: np.ndarray, said: np.ndarray, total: np.ndarray) -> list[tuple[int, float, float, float]]:
-    """(record, score, parts of its label covered by `said` and by all `terms`) of the two best records of a block that share a label term with
-    the page; equal scores go to the smaller record.  `total` is a vector of zeros for the block, and is one again afterwards."""
-    keys = block["keys"]
+    """(record, score, parts of its label covered by `said` and by all `terms`) of the two best records of a block that share a
+    label term with the page; equal scores go to the smaller record.  `total` is a vector of zeros for the block, and is one
+    again afterwards.
+
+    The label terms are summed along their postings.  The other terms can add no more than all of their weights, so only
+    records within that sum of the second best label score are looked up in the others' postings: the result stays exact.
+    """
+    keys, starts, rows, weights = block["keys"], block["starts"], block["rows"], block["weights"]
+    if not len(keys):
+        return []
     at = np.searchsorted(keys, terms)
-    at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == terms)] if len(keys) else at[:0]
-    starts = block["starts"]
-    label = at[block["labelled"][at]]
+    at = at[keys[np.minimum(at, len(keys) - 1)] == terms]
+    labelled = block["labelled"][at]
+    label, others = at[labelled], at[~labelled]
     if not len(label):
         return []
-    touched = []
-    for k in at:
-        rows = block["rows"][starts[k] : starts[k + 1]]
-        total[rows] += block["weights"][k]
-        if block["labelled"][k]:
-            touched.append(rows)
-    may = np.unique(np.concatenate(touched))
+    lists = [rows[starts[k] : starts[k + 1]] for k in label]
+    for k, own in zip(label, lists):
+        total[own] += weights[k]
+    may = np.concatenate(lists)
+    scores = total[may]
+    # the second best label score among different records is at most what the best record leaves
+    best = may[scores.argmax()]
+    rest = scores[may != best]
+    floor = (rest.max() if len(rest) else scores.max()) - weights[others].sum() - 1e-9
+    may = np.unique(may[scores >= floor])
     scores = total[may]
-    for k in at:
-        total[block["rows"][starts[k] : starts[k + 1]]] = 0.0
+    for own in lists:
+        total[own] = 0.0
+    for k in others:
+        own = rows[starts[k] : starts[k + 1]]
+        i = np.searchsorted(own, may)
+        scores = scores + weights[k] * (own[np.minimum(i, len(own) - 1)] == may)
     out = []
     for _ in range(min(2, len(may))):
         j = int(scores.argmax())
         row, covered, told = may[j], 0.0, 0.0
-        for k, named in zip(label, np.isin(keys[label], said)):
-            rows = block["rows"][starts[k] : starts[k + 1]]
-            i = np.searchsorted(rows, row)
-            if i < len(rows) and rows[i] == row:
-                told += block["weights"][k]
-                covered += block["weights"][k] * named
-        own = max(1e-9, block["own"][row])
-        out.append((int(block["record"][row]), float(scores[j]) * (K1 + 1) / (1 + K1), min(1.0, covered / own), min(1.0, told / own)))
+        for k, own, named in zip(label, lists, np.isin(keys[label], said)):
+            i = np.searchsorted(own, row)
+            if i < len(own) and own[i] == row:
+                told += weights[k]
+                covered += weights[k] * named
+        whole = max(1e-9, block["own"][row])
+        out.append((int(block["record"][row]), float(scores[j]) * (K1 + 1) / (1 + K1), min(1.0, covered / whole), min(1.0, told / whole)))
         scores[j] = -1.0
     return out
 
@@ -297,31 +311,48 @@ def link(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     total = classes.count()
     index = cut(index_blocks(classes, total))
 
-    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.schema([("page", pa.list_(pa.int64())), ("every", pa.list_(pa.list_(pa.int64()))), ("said", pa.list_(pa.list_(pa.int64())))])
-        for b in batches:
-            for i in range(0, b.num_rows, PAGE_BLOCK):
-                part = b.slice(i, PAGE_BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(c).to_pylist()], whole.field(c).type) for c in range(3)], schema=whole)
-
-    bundles = asked.select("page", "every", "said").mapInArrow(bundle, "page array<long>, every array<array<long>>, said array<array<long>>")
-    # one block is small by RECORD_BLOCK and is broadcast; several meet the bundles in a Cartesian product
-    met = bundles.crossJoin(F.broadcast(index) if total <= RECORD_BLOCK else index)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                block = {p: np.frombuffer(b.column(p)[i].as_buffer(), dtype=kind) for p, kind in PARTS.items()}
-                zeros = np.zeros(len(block["record"]))
-                out: list[tuple] = []
-                for page, every, said in zip(b.column("page")[i].as_py(), b.column("every")[i], b.column("said")[i]):
-                    mine = np.sort(every.values.to_numpy(zero_copy_only=False))
-                    out += [(page, *x) for x in best_two(block, mine, said.values.to_numpy(zero_copy_only=False), zeros)]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], names=["page", "record", "score", "cover", "told"])
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+    columns = ["page", "record", "score", "cover", "told"]
+    schema = "page long, record long, score double, cover double, told double"
+
+    def search(block: dict[str, np.ndarray], pages: list, every: pa.Array, said: pa.Array) -> pa.RecordBatch:
+        zeros = np.zeros(len(block["record"]))
+        out: list[tuple] = []
+        for page, e, s in zip(pages, every, said):
+            out += [(page, *x) for x in best_two(block, np.sort(e.values.to_numpy(zero_copy_only=False)), s.values.to_numpy(zero_copy_only=False), zeros)]
+        return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], names=columns)
+
+    unpacked = lambda get: {p: np.frombuffer(get(p), dtype=kind) for p, kind in PARTS.items()}
+    if total <= RECORD_BLOCK:
+        # one block: its size is bounded by RECORD_BLOCK, and it is sent out once
+        packed = {p: b"" for p in PARTS} if (row := index.first()) is None else {p: bytes(row[p]) for p in PARTS}
+        shipped = pages.sparkSession.sparkContext.broadcast(packed)
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = unpacked(shipped.value.get)
+            for b in batches:
+                yield search(block, b.column(0).to_pylist(), b.column(1), b.column(2))
+
+        met = asked.select("page", "every", "said").mapInArrow(meet, schema)
+    else:
+        # several: every block meets every bundle of pages, in a Cartesian product without shuffle
+        def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lists = pa.list_(pa.list_(pa.int64()))
+            for b in batches:
+                for i in range(0, b.num_rows, PAGE_BLOCK):
+                    part = b.slice(i, PAGE_BLOCK)
+                    yield pa.RecordBatch.from_arrays([pa.array([part.column(c).to_pylist()], pa.list_(pa.int64()) if c == 0 else lists) for c in range(3)], names=["page", "every", "said"])
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    yield search(unpacked(lambda p: b.column(p)[i].as_buffer()), b.column("page")[i].as_py(), b.column("every")[i].values, b.column("said")[i].values)
+
+        bundles = asked.select("page", "every", "said").mapInArrow(bundle, "page array<long>, every array<array<long>>, said array<array<long>>")
+        met = bundles.crossJoin(index).mapInArrow(meet, schema)
 
     order = Window.partitionBy("page").orderBy(F.desc("score"), "record")
-    two = met.mapInArrow(meet, "page long, record long, score double, cover double, told double").withColumn("at", F.row_number().over(order)).where("at <= 2")
+    two = met.withColumn("at", F.row_number().over(order)).where("at <= 2")
     first = lambda c: F.max(F.when(F.col("at") == 1, F.col(c)))
     top = two.groupBy("page").agg(first("record").alias("record"), first("score").alias("score"), first("cover").alias("cover"), first("told").alias("told"), F.max(F.when(F.col("at") == 2, F.col("score"))).alias("second"))
     top = cut(top.withColumn("gap", (F.col("score") - F.coalesce("second", F.lit(0.0))) / F.col("score")))
