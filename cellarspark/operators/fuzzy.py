@@ -124,13 +124,14 @@ def _entries(dictionary: DataFrame, key: str, target: str, keys: Column) -> Data
     return once.select(F.explode(F.array_distinct(keys)).alias("k"), "entry", target)
 
 
-def unique_affix(words: DataFrame, dictionary: DataFrame, word: str, key: str, target: str, shortest: int, longer: int, suffix: bool = False) -> DataFrame:
+def unique_affix(words: DataFrame, dictionary: DataFrame, word: str, key: str, target: str, shortest: int, longer: int, suffix: bool = False, strict: bool = False) -> DataFrame:
     """(word, target) of each distinct word of `shortest` letters or more that begins (or ends) the entries of exactly one
-    target, which are at most `longer` letters longer; an entry begins and ends itself."""
+    target, which are at most `longer` letters longer; an entry begins and ends itself unless `strict`."""
     n = F.length("entry")
-    sizes = F.sequence(F.greatest(F.lit(shortest), n - longer), n)
+    most = n - 1 if strict else n
+    sizes = F.sequence(F.greatest(F.lit(shortest), n - longer), most)
     part = lambda k: F.substring(F.col("entry"), n - k + 1, k) if suffix else F.substring(F.col("entry"), F.lit(1), k)
-    keys = F.when(n >= shortest, F.transform(sizes, part)).otherwise(F.array().cast("array<string>"))
+    keys = F.when(most >= shortest, F.transform(sizes, part)).otherwise(F.array().cast("array<string>"))
     return _unique(words, _entries(dictionary, key, target, keys), word, target, F.array(word))
 
 
