@@ -1,9 +1,9 @@
 """P2: match the pages of one table to the records of another that shares no key with it.
 
 Both sides become sets of terms over all attributes (label words, their one-letter deletions in Latin and in the own script,
-maker, grape).  The records form an inverted index in blocks; every page meets every block.  Its label terms are summed along
-their postings, and records that its other terms can not lift over the second best are pruned, so the two best records by
-BM25 are exact however many records own a term.  The best record is kept if the page is also near the record's own best
+maker, grape).  The records form an inverted index in blocks; every page meets every block, and its BM25 scores
+are summed along the postings of all its terms.  Only the two best records a block leave it, so the two best of all records
+are exact however many records own a term.  The best record is kept if the page is also near the record's own best
 (mutual-nearest test) and if the confidence is high enough: a logistic curve of the score gap and of the parts of the label
 that the page's name and the whole page cover, calibrated on a bounded sample labelled by an exact comparison of words.
 """
@@ -38,7 +38,9 @@ DELETION = 0.35
 #: the page's score with its best record, as a part of the best score that record has with any page
 MUTUAL = 0.15
 #: records in one block of the index, and pages that meet a block at once
-RECORD_BLOCK, PAGE_BLOCK = 50_000, 2_000
+RECORD_BLOCK, PAGE_BLOCK = 5_000, 2_000
+#: postings of a block from which a term's weights are kept as a vector over the block
+DENSE = 500
 #: a pair is a match from this confidence on
 CONFIDENT = 0.5
 #: what the confidence is read from
@@ -110,8 +112,8 @@ def headings(text: str, own: frozenset[str]) -> list[str]:
     return out
 
 
-def page_terms(name: str, winery: str, colour: str, grape: str, address: str, text: str) -> tuple[list[str], list[str], dict]:
-    """(all terms, the terms of the name, evidence for the calibration) of a page of restored, unified fields."""
+def page_terms(name: str, winery: str, colour: str, grape: str, address: str, text: str) -> tuple[list[str], int, dict]:
+    """(all terms, how many of them, the first ones, are the name's, evidence for the calibration) of a page of restored, unified fields."""
     m = _SLUG.search(address or "")
     path = slug_label(m[1]) if m else []
     words = words_of(name)
@@ -126,7 +128,7 @@ def page_terms(name: str, winery: str, colour: str, grape: str, address: str, te
     every += [f"g:{w}" for w in dict.fromkeys([*words, *words_of(grape)]) if len(w) > 3]
     kind = _KIND.search(text)
     told = colour_of(kind[1]) if kind else ""
-    return list(dict.fromkeys(every)), list(dict.fromkeys(said)), {"words": " ".join(words), "title": " ".join(romanise(w) for w in titles[0].split()) if titles else "", "colour": told or colour_of(name) or colour_of(colour)}
+    return list(dict.fromkeys(every)), len(dict.fromkeys(said)), {"words": " ".join(words), "title": " ".join(romanise(w) for w in titles[0].split()) if titles else "", "colour": told or colour_of(name) or colour_of(colour)}
 
 
 def near(word: str, target: str, most: int) -> bool:
@@ -197,14 +199,14 @@ def records(catalog: DataFrame) -> DataFrame:
     return first.mapInArrow(build, "row_idx long, label string, maker string, colour string, terms array<string>").where("label <> ''")
 
 
-def index_blocks(classes: DataFrame, total: int) -> DataFrame:
-    """(block, record, keys, starts, rows, weights, labelled, own) of `classes` (record, terms): the inverted index in blocks
-    of about RECORD_BLOCK records, packed as arrays.  A term weighs its BM25 idf over all records (term frequency one)."""
+def index_blocks(postings: DataFrame, total: int) -> DataFrame:
+    """(block, record, keys, starts, rows, weights, labelled, own) of distinct `postings` (record, term, kind): the inverted
+    index in blocks of about RECORD_BLOCK records, packed as arrays.  A term weighs its BM25 idf over all records (term
+    frequency one)."""
     blocks = max(1, -(-total // RECORD_BLOCK))
-    postings = classes.select("record", F.explode("terms").alias("t")).select("record", F.xxhash64("t").alias("term"), F.substring("t", 1, 1).alias("kind"))
     df = postings.groupBy("term", "kind").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.when(F.col("kind").isin("d", "c"), DELETION).otherwise(1.0)
-    weighted = postings.join(df, ["term", "kind"]).select("record", "term", "kind", idf.alias("w")).withColumn("block", F.pmod(F.xxhash64("record"), F.lit(blocks)).cast("int"))
+    weighted = postings.join(df, ["term", "kind"]).select("record", "term", "kind", idf.cast("float").alias("w"), F.pmod(F.xxhash64("record"), F.lit(blocks)).cast("int").alias("block"))
 
     def pack(g):  # noqa: ANN001, ANN202
         import pandas as pd
@@ -225,53 +227,59 @@ def index_blocks(classes: DataFrame, total: int) -> DataFrame:
 PARTS = {"record": np.int64, "keys": np.int64, "starts": np.int64, "rows": np.int32, "weights": np.float64, "labelled": np.bool_, "own": np.float64}
 
 
-def best_two(block: dict[str, np.ndarray], terms: np.ndarray, said: np.ndarray, total: np.ndarray) -> list[tuple[int, float, float, float]]:
-    """(record, score, parts of its label covered by `said` and by all `terms`) of the two best records of a block that share a
-    label term with the page; equal scores go to the smaller record.  `total` is a vector of zeros for the block, and is one
-    again afterwards.
-
-    The label terms are summed along their postings.  The other terms can add no more than all of their weights, so only
-    records within that sum of the second best label score are looked up in the others' postings: the result stays exact.
-    """
-    keys, starts, rows, weights = block["keys"], block["starts"], block["rows"], block["weights"]
-    if not len(keys):
-        return []
-    at = np.searchsorted(keys, terms)
-    at = at[keys[np.minimum(at, len(keys) - 1)] == terms]
-    labelled = block["labelled"][at]
-    label, others = at[labelled], at[~labelled]
-    if not len(label):
-        return []
-    lists = [rows[starts[k] : starts[k + 1]] for k in label]
-    for k, own in zip(label, lists):
-        total[own] += weights[k]
-    may = np.concatenate(lists)
-    scores = total[may]
-    # the second best label score among different records is at most what the best record leaves
-    best = may[scores.argmax()]
-    rest = scores[may != best]
-    floor = (rest.max() if len(rest) else scores.max()) - weights[others].sum() - 1e-9
-    may = np.unique(may[scores >= floor])
-    scores = total[may]
-    for own in lists:
-        total[own] = 0.0
-    for k in others:
-        own = rows[starts[k] : starts[k + 1]]
-        i = np.searchsorted(own, may)
-        scores = scores + weights[k] * (own[np.minimum(i, len(own) - 1)] == may)
-    out = []
-    for _ in range(min(2, len(may))):
-        j = int(scores.argmax())
-        row, covered, told = may[j], 0.0, 0.0
-        for k, own, named in zip(label, lists, np.isin(keys[label], said)):
-            i = np.searchsorted(own, row)
-            if i < len(own) and own[i] == row:
-                told += weights[k]
-                covered += weights[k] * named
-        whole = max(1e-9, block["own"][row])
-        out.append((int(block["record"][row]), float(scores[j]) * (K1 + 1) / (1 + K1), min(1.0, covered / whole), min(1.0, told / whole)))
-        scores[j] = -1.0
-    return out
+class Block:
+    """One block of the index with its frequent terms as vectors."""
+
+    def __init__(self, parts: dict[str, np.ndarray]) -> None:
+        self.parts = parts
+        self.total = np.zeros(len(parts["record"]))
+        self.dense: dict[int, np.ndarray] = {}
+        for k in np.flatnonzero(np.diff(parts["starts"]) >= DENSE):
+            v = np.zeros(len(parts["record"]))
+            v[self.rows(k)] = parts["weights"][k]
+            self.dense[int(k)] = v
+
+    def rows(self, k: int) -> np.ndarray:
+        return self.parts["rows"][self.parts["starts"][k] : self.parts["starts"][k + 1]]
+
+    def best_two(self, terms: np.ndarray, said: int) -> list[tuple[int, float, float, float]]:
+        """(record, score, parts of its label covered by the first `said` terms and by all) of the two best records that share a
+        label term with the page; equal scores go to the smaller record.  Distinct terms, in any order."""
+        keys, weights, total = self.parts["keys"], self.parts["weights"], self.total
+        if not len(keys) or not len(terms):
+            return []
+        at = np.searchsorted(keys, terms)
+        hit = keys[np.minimum(at, len(keys) - 1)] == terms
+        at, named = at[hit], np.flatnonzero(hit) < said
+        labelled = self.parts["labelled"][at]
+        if not labelled.any():
+            return []
+        total[:] = 0.0
+        for k in at.tolist():
+            if (v := self.dense.get(k)) is not None:
+                total += v
+            else:
+                total[self.rows(k)] += weights[k]
+        label = at[labelled]
+        lists = [self.rows(k) for k in label]
+        may = np.concatenate(lists)
+        scores = total[may]
+        out = []
+        for _ in range(2):
+            top = scores.max()
+            if top < 0:
+                break
+            row = may[scores == top].min()
+            covered = told = 0.0
+            for k, own, mine in zip(label, lists, named[labelled]):
+                i = np.searchsorted(own, row)
+                if i < len(own) and own[i] == row:
+                    told += weights[k]
+                    covered += weights[k] * mine
+            whole = max(1e-9, self.parts["own"][row])
+            out.append((int(self.parts["record"][row]), float(top) * (K1 + 1) / (1 + K1), min(1.0, covered / whole), min(1.0, told / whole)))
+            scores[may == row] = -1.0
+        return out
 
 
 def link(pages: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -287,8 +295,7 @@ def link(pages: DataFrame, catalog: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, norm = mojibake.Bigrams(counts), lookalike.Normaliser(chars)
-        strings = pa.list_(pa.string())
-        schema = pa.schema([("cache_id", pa.int64()), ("every", strings), ("said", strings), ("words", pa.string()), ("title", pa.string()), ("colour", pa.string())])
+        schema = pa.schema([("cache_id", pa.int64()), ("every", pa.list_(pa.string())), ("said", pa.int32()), ("words", pa.string()), ("title", pa.string()), ("colour", pa.string())])
         for b in batches:
             out = []
             for r in b.to_pylist():
@@ -299,57 +306,40 @@ def link(pages: DataFrame, catalog: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     source = pages.select("cache_id", "name", "winery", "color", "grape", "source", "text")
-    hashed = lambda c: F.transform(c, lambda t: F.xxhash64(t))
-    asked = source.mapInArrow(build, "cache_id long, every array<string>, said array<string>, words string, title string, colour string")
-    asked = cut(asked.withColumn("every", hashed("every")).withColumn("said", hashed("said"))).withColumn("page", F.monotonically_increasing_id())
+    hashed = F.transform("every", lambda t: F.xxhash64(t))
+    asked = source.mapInArrow(build, "cache_id long, every array<string>, said int, words string, title string, colour string")
+    asked = cut(asked.withColumn("every", hashed)).withColumn("page", F.monotonically_increasing_id())
 
-    cards = cut(records(catalog))
+    cards = records(catalog).withColumn("record", F.xxhash64("label", "maker"))
     # copies and colours of a label are one record with the terms of all of them
-    terms = cards.select("label", "maker", F.explode("terms").alias("t")).distinct()
-    classes = terms.groupBy("label", "maker").agg(F.collect_list("t").alias("terms")).withColumn("record", F.xxhash64("label", "maker"))
-    classes = cut(classes)
-    total = classes.count()
-    index = cut(index_blocks(classes, total))
-
-    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-    columns = ["page", "record", "score", "cover", "told"]
-    schema = "page long, record long, score double, cover double, told double"
-
-    def search(block: dict[str, np.ndarray], pages: list, every: pa.Array, said: pa.Array) -> pa.RecordBatch:
-        zeros = np.zeros(len(block["record"]))
-        out: list[tuple] = []
-        for page, e, s in zip(pages, every, said):
-            out += [(page, *x) for x in best_two(block, np.sort(e.values.to_numpy(zero_copy_only=False)), s.values.to_numpy(zero_copy_only=False), zeros)]
-        return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], names=columns)
-
-    unpacked = lambda get: {p: np.frombuffer(get(p), dtype=kind) for p, kind in PARTS.items()}
-    if total <= RECORD_BLOCK:
-        # one block: its size is bounded by RECORD_BLOCK, and it is sent out once
-        packed = {p: b"" for p in PARTS} if (row := index.first()) is None else {p: bytes(row[p]) for p in PARTS}
-        shipped = pages.sparkSession.sparkContext.broadcast(packed)
-
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = unpacked(shipped.value.get)
-            for b in batches:
-                yield search(block, b.column(0).to_pylist(), b.column(1), b.column(2))
-
-        met = asked.select("page", "every", "said").mapInArrow(meet, schema)
-    else:
-        # several: every block meets every bundle of pages, in a Cartesian product without shuffle
-        def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lists = pa.list_(pa.list_(pa.int64()))
-            for b in batches:
-                for i in range(0, b.num_rows, PAGE_BLOCK):
-                    part = b.slice(i, PAGE_BLOCK)
-                    yield pa.RecordBatch.from_arrays([pa.array([part.column(c).to_pylist()], pa.list_(pa.int64()) if c == 0 else lists) for c in range(3)], names=["page", "every", "said"])
-
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(b.num_rows):
-                    yield search(unpacked(lambda p: b.column(p)[i].as_buffer()), b.column("page")[i].as_py(), b.column("every")[i].values, b.column("said")[i].values)
-
-        bundles = asked.select("page", "every", "said").mapInArrow(bundle, "page array<long>, every array<array<long>>, said array<array<long>>")
-        met = bundles.crossJoin(index).mapInArrow(meet, schema)
+    cards = cut(cards.withColumn("terms", F.transform("terms", lambda t: F.struct(F.xxhash64(t).alias("term"), F.substring(t, 1, 1).alias("kind")))))
+    postings = cards.select("record", F.explode("terms").alias("t")).select("record", "t.term", "t.kind").distinct()
+    total = cards.select("record").distinct().count()
+    index = cut(index_blocks(postings, total))
+
+    # every block meets every bundle of pages, in a Cartesian product without shuffle
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, PAGE_BLOCK):
+                part = b.slice(i, PAGE_BLOCK)
+                kinds = (pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(c).to_pylist()], k) for c, k in enumerate(kinds)], names=["page", "every", "said"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, Block] | None = None
+        for b in batches:
+            for i in range(b.num_rows):
+                number = b.column("block")[i].as_py()
+                if last is None or last[0] != number:
+                    last = (number, Block({p: np.frombuffer(b.column(p)[i].as_buffer(), dtype=kind) for p, kind in PARTS.items()}))
+                out: list[tuple] = []
+                for page, every, said in zip(b.column("page")[i].as_py(), b.column("every")[i].values, b.column("said")[i].as_py()):
+                    out += [(page, *x) for x in last[1].best_two(every.values.to_numpy(zero_copy_only=False), said)]
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], names=["page", "record", "score", "cover", "told"])
+
+    bundles = asked.select("page", "every", "said").mapInArrow(bundle, "page array<long>, every array<array<long>>, said array<int>")
+    met = index.crossJoin(bundles).mapInArrow(meet, "page long, record long, score double, cover double, told double")
 
     order = Window.partitionBy("page").orderBy(F.desc("score"), "record")
     two = met.withColumn("at", F.row_number().over(order)).where("at <= 2")

@@ -271,6 +271,14 @@ def test_links_do_not_depend_on_blocks(spark, monkeypatch) -> None:
     assert (20, 0) in {g[:2] for g in got[1] if g[-1] >= linkage.CONFIDENT}
 
 
+def _best_two(block: dict, terms, dense: int) -> list[tuple]:  # noqa: ANN001
+    before, linkage.DENSE = linkage.DENSE, dense
+    try:
+        return [(r, round(s, 9), round(c, 9), round(t, 9)) for r, s, c, t in linkage.Block(block).best_two(terms, 3)]
+    finally:
+        linkage.DENSE = before
+
+
 def test_two_best_records_equal_brute_force() -> None:
     rng = random.Random(8)
     np = linkage.np
@@ -281,13 +289,14 @@ def test_two_best_records_equal_brute_force() -> None:
         weights, labelled = np.array([rng.random() for _ in keys]), np.array([rng.random() < 0.6 for _ in keys])
         block = {"record": np.array(sorted(records), dtype=np.int64), "keys": keys, "starts": np.cumsum([0, *map(len, owners)]), "rows": np.concatenate([np.array(o, dtype=np.int32) for o in owners]), "weights": weights, "labelled": labelled, "own": np.ones(len(records))}
         terms = np.array(sorted(rng.sample(range(95, 145), 12)), dtype=np.int64)
-        zeros = np.zeros(len(records))
-        got = linkage.best_two(block, terms, terms[:3], zeros)
+        rng.shuffle(terms)
+        got = [x for dense in (1, 4, 1000) for x in [_best_two(block, terms, dense)]]
+        assert got[0] == got[1] == got[2]
+        got = got[0]
         w = {int(k): (x, bool(y)) for k, x, y in zip(keys, weights, labelled)}
         scores = {r: sum(w[t][0] for t in own & {int(x) for x in terms}) for r, own in records.items() if any(w[t][1] for t in own & {int(x) for x in terms})}
         want = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:2]
         assert [(r, round(s, 9)) for r, s, *_ in got] == [(r, round(s, 9)) for r, s in want]
-        assert not zeros.any()
 
 
 def test_all_card_terms_of_a_label_are_kept(spark) -> None:
