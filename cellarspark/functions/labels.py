@@ -40,8 +40,16 @@ def _first(items: Column, value) -> Column:  # noqa: ANN001
     return F.get(F.filter(F.transform(items, value), lambda v: v.isNotNull()), F.lit(0))
 
 
-def colour_of_word(c: Column, known_grape: Column) -> Column:
-    """white, red, rose or orange; NULL for other words, among them grapes whose names begin like a colour."""
+#: words that a misread word of colour or sweetness may nearly spell
+NEAR_WORDS = ("КРАСНОЕ", "КРАСНЫЙ", "БЕЛОЕ", "БЕЛЫЙ", "РОЗОВОЕ", "РОЗОВЫЙ", "ОРАНЖЕВОЕ", "СУХОЕ", "СУХОЙ", "СЛАДКОЕ", "СЛАДКИЙ", "ПОЛУСЛАДКОЕ", "ПОЛУСУХОЕ", "БРЮТ")
+
+
+def colour_of_word(c: Column, known_grape: Column, close: Column | None = None) -> Column:
+    """white, red, rose or orange; NULL for other words, among them grapes whose names begin like a colour.
+
+    `close` has those of NEAR_WORDS that the word nearly spells; without it they are found here, which costs more.
+    """
+    near_ = (lambda x, w: near(x, w)) if close is None else (lambda x, w: F.array_contains(close, w))
 
     def plain(f: Column) -> Column:
         return (
@@ -52,14 +60,15 @@ def colour_of_word(c: Column, known_grape: Column) -> Column:
 
     barred = known_grape | F.contains(c, F.lit("СТОП")) | F.startswith(c, F.lit("КРАСНОСТ")) | F.startswith(c, F.lit("КРАСНА"))
     guessed = (
-        F.when(barred, F.lit(None).cast("string")).when(near(c, "КРАСНОЕ") | near(c, "КРАСНЫЙ"), "red").when(near(c, "БЕЛОЕ") | near(c, "БЕЛЫЙ"), "white")
-        .when(near(c, "РОЗОВОЕ") | near(c, "РОЗОВЫЙ"), "rose").when(near(c, "ОРАНЖЕВОЕ"), "orange")
+        F.when(barred, F.lit(None).cast("string")).when(near_(c, "КРАСНОЕ") | near_(c, "КРАСНЫЙ"), "red").when(near_(c, "БЕЛОЕ") | near_(c, "БЕЛЫЙ"), "white")
+        .when(near_(c, "РОЗОВОЕ") | near_(c, "РОЗОВЫЙ"), "rose").when(near_(c, "ОРАНЖЕВОЕ"), "orange")
     )
     return F.coalesce(_first(forms(c), plain), guessed)
 
 
-def sweetness_of_word(c: Column) -> Column:
-    """dry, sweet, semi_dry, semi_sweet or brut; NULL for other words."""
+def sweetness_of_word(c: Column, close: Column | None = None) -> Column:
+    """dry, sweet, semi_dry, semi_sweet or brut; NULL for other words; `close` as in `colour_of_word`."""
+    near_ = (lambda x, w: near(x, w)) if close is None else (lambda x, w: F.array_contains(close, w))
 
     def plain(f: Column) -> Column:
         return (
@@ -68,8 +77,8 @@ def sweetness_of_word(c: Column) -> Column:
         )
 
     guessed = (
-        F.when(near(c, "СУХОЕ") | near(c, "СУХОЙ"), "dry").when(near(c, "СЛАДКОЕ") | near(c, "СЛАДКИЙ"), "sweet")
-        .when(near(c, "ПОЛУСЛАДКОЕ"), "semi_sweet").when(near(c, "ПОЛУСУХОЕ"), "semi_dry").when(near(c, "БРЮТ"), "brut")
+        F.when(near_(c, "СУХОЕ") | near_(c, "СУХОЙ"), "dry").when(near_(c, "СЛАДКОЕ") | near_(c, "СЛАДКИЙ"), "sweet")
+        .when(near_(c, "ПОЛУСЛАДКОЕ"), "semi_sweet").when(near_(c, "ПОЛУСУХОЕ"), "semi_dry").when(near_(c, "БРЮТ"), "brut")
     )
     return F.when(brut_misread(c), "brut").otherwise(F.coalesce(_first(forms(c), plain), guessed))
 
@@ -87,11 +96,12 @@ def near_filler(c: Column, least: float = 0.84) -> Column:
     return F.when((F.length(c) < 5) | c.isin(*W.NAME_STOP), F.lit(False)).otherwise(close)
 
 
-def readable(c: Column) -> Column:
-    """Whether a word can be said: letters only, enough vowels, no four consonants in a row, no filler and none nearly."""
+def readable(c: Column, filler: Column | None = None) -> Column:
+    """Whether a word can be said: letters only, enough vowels, no four consonants in a row, no filler and none nearly
+    (`filler`, found here if it is not given)."""
     vowels = T.letters_in(c, VOWELS)
     said = (F.length(c) >= 4) & c.rlike("^[A-ZА-Я]+$") & (vowels >= 1) & ((F.length(c) < 6) | (vowels >= 2)) & ~c.rlike(f"[^{VOWELS}]{{4,}}")
-    return (c == "ДОЛИНА") | F.when(said, ~T.is_generic(c) & ~near_filler(c)).otherwise(F.lit(False))
+    return (c == "ДОЛИНА") | F.when(said, ~T.is_generic(c) & ~(near_filler(c) if filler is None else filler)).otherwise(F.lit(False))
 
 
 def word_script(c: Column) -> Column:

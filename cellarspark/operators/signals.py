@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellarspark.functions import labels as L
 from cellarspark.functions import text as T
 from cellarspark.functions import words as W
 from cellarspark.operators import fuzzy
+from cellarspark.plans.lineage import cut
 
 STRINGS = "array<string>"
 
 
+def near_fillers(words: DataFrame) -> DataFrame:
+    """(word): the distinct words of five letters or more that are no filler but nearly spell one."""
+    stop = words.sparkSession.createDataFrame([(w,) for w in dict.fromkeys(W.NAME_STOP)], "entry string")
+    asked = words.where((F.length("word") >= 5) & ~F.col("word").isin(*W.NAME_STOP))
+    return fuzzy.near_pairs(asked, stop, "word", "entry", 0.84, 1).select("word").distinct()
+
+
+def class_words(words: DataFrame, grapes: DataFrame) -> DataFrame:
+    """(word, colour, sweet): the colour and sweetness each distinct word means; words that are grapes are no colours."""
+    once = words.select("word").where("word is not null and word <> ''").distinct()
+    targets = words.sparkSession.createDataFrame([(w,) for w in L.NEAR_WORDS], "target string")
+    close = fuzzy.near_pairs(once.where(F.length("word") >= 5), targets, "word", "target", 0.80, 1).groupBy("word").agg(F.collect_list("target").alias("close"))
+    known = grapes.select(F.col("grape").alias("word"), F.lit(True).alias("known")).distinct()
+    j = once.join(close, "word", "left").join(known, "word", "left").withColumn("close", F.coalesce("close", F.array().cast(STRINGS)))
+    return j.select("word", L.colour_of_word(F.col("word"), F.coalesce("known", F.lit(False)), F.col("close")).alias("colour"), L.sweetness_of_word(F.col("word"), F.col("close")).alias("sweet"))
+
+
 def resolve_grapes(words: DataFrame, grapes: DataFrame) -> DataFrame:
     """(word, grape, quality): the grape each distinct word of `words` (word) means among `grapes` (grape).
 
@@ -23,7 +41,7 @@ def resolve_grapes(words: DataFrame, grapes: DataFrame) -> DataFrame:
     known = grapes.select("grape").where("grape is not null and grape <> ''").distinct()
     free = known.where(~F.col("grape").isin(*W.GRAPE_STOP))
     alias = asked.select("word", L.grape_alias(F.col("word")).alias("grape")).join(free, "grape").select("word", "grape", F.lit("alias").alias("quality"), F.lit(1).alias("o"))
-    plain = asked.where((F.length("word") >= 4) & ~L.near_filler(F.col("word")))
+    plain = cut(asked.where(F.length("word") >= 4).join(near_fillers(asked), "word", "left_anti"))
     exact = plain.join(known.withColumn("word", F.col("grape")), "word").select("word", "grape", F.lit("exact").alias("quality"), F.lit(2).alias("o"))
     longer = fuzzy.unique_affix(plain, free.select("grape", F.col("grape").alias("target")), "word", "grape", "target", 6, 4, strict=True)
     prefix = longer.select("word", F.col("target").alias("grape"), F.lit("prefix").alias("quality"), F.lit(3).alias("o"))
@@ -40,10 +58,8 @@ def text_signals(df: DataFrame, key: str, text: Column, grapes: DataFrame) -> Da
     """
     said = df.select(key, text.alias("said"))
     tokens = said.select(key, F.posexplode(T.tokens("said")).alias("pos", "word"))
-    words = tokens.select("word").distinct()
-    known = grapes.select(F.col("grape").alias("word"), F.lit(True).alias("known")).distinct()
-    classed = words.join(known, "word", "left").join(resolve_grapes(words, grapes), "word", "left")
-    classed = classed.select("word", L.colour_of_word(F.col("word"), F.coalesce("known", F.lit(False))).alias("colour"), L.sweetness_of_word(F.col("word")).alias("sweet"), "grape")
+    words = cut(tokens.select("word").distinct())
+    classed = class_words(words, grapes).join(resolve_grapes(words, grapes), "word", "left")
     telling = classed.where("colour is not null or sweet is not null or grape is not null")
     met = tokens.join(telling, "word")
     found = met.groupBy(key).agg(F.min("colour").alias("lo"), F.max("colour").alias("hi"), F.collect_set("sweet").alias("sweets"), F.array_sort(F.collect_list(F.when(F.col("grape").isNotNull(), F.struct("pos", "grape")))).alias("g"))
@@ -63,7 +79,7 @@ def profile_signals(pages: DataFrame, key: str, text: Column, grapes: DataFrame)
 
 def card_signals(catalog: DataFrame) -> DataFrame:
     """(row_idx, slug, colour, sweetness, grapes, tastes, makers, regions, brands) of every card of a catalog with one row a slug."""
-    grapes = catalog.select(F.explode(T.tokens("grape")).alias("grape")).distinct()
+    grapes = cut(catalog.select(F.explode(T.tokens("grape")).alias("grape")).distinct())
     words = catalog.select("row_idx", F.posexplode(T.tokens("grape")).alias("pos", "word"))
     met = words.join(resolve_grapes(words, grapes), "word").groupBy("row_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "grape"))).alias("g"))
     blank = lambda c: F.nullif(F.col(c) if isinstance(c, str) else c, F.lit(""))
@@ -75,3 +91,62 @@ def card_signals(catalog: DataFrame) -> DataFrame:
         "row_idx", "slug", T.colour_class("category", "slug").alias("colour"), sweet.alias("sweetness"), ordered.alias("grapes"), T.stems_found("description", W.TASTE_STEMS).alias("tastes"),
         F.array_distinct(T.tokens("winery")).alias("makers"), F.array_distinct(T.tokens("region")).alias("regions"), F.array_distinct(brands).alias("brands"),
     )
+
+
+def _attributes(df: DataFrame, key: str) -> DataFrame:
+    """(key, kind, value): the attributes of signals, one a row."""
+    one = lambda c, kind: F.when(F.col(c).isNotNull(), F.array(F.struct(F.lit(kind).alias("kind"), F.col(c).alias("value")))).otherwise(F.expr("cast(array() as array<struct<kind:string,value:string>>)"))
+    many = lambda c, kind: F.transform(F.array_distinct(c), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    parts = [one("colour", "colour"), one("sweetness", "sweet"), many("grapes", "grape"), many("tastes", "taste"), many("brands", "brand"), many("regions", "region")]
+    return df.select(key, F.explode(F.concat(*parts)).alias("a")).select(key, "a.kind", "a.value")
+
+
+def rank_by_attributes(profiles: DataFrame, cards: DataFrame, key: str, row: str, limit: int = 4) -> DataFrame:
+    """(key, row, place, grape, colour, sweet, brand, taste, region): the cards nearest to each profile by shared grapes, then
+    colour, sweetness, maker, tastes and regions; ties go to the smaller row.
+
+    The best card comes first, then the first one of the profile's colour, of its maker and with one of its grapes, then the
+    rest in order.  Cards without a shared attribute are left out.  Profiles meet cards by equal attributes.
+    """
+    kinds = ("grape", "colour", "sweet", "brand", "taste", "region")
+    met = _attributes(profiles, key).join(_attributes(cards, row), ["kind", "value"])
+    shared = met.groupBy(key, row).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds]).withColumn("brand", F.least("brand", F.lit(1)))
+    order = F.struct(*[(-F.col(k)).alias(k) for k in kinds], F.col(row))
+    pairs = cut(shared.select(key, order.alias("o")))
+    firsts = pairs.groupBy(key).agg(F.min("o").alias("a"), *[F.min(F.when(F.col(f"o.{k}") < 0, F.col("o"))).alias(k) for k in ("colour", "brand", "grape")])
+    w = Window.partitionBy(key).orderBy("o")
+    best = pairs.withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).groupBy(key).agg(F.array_sort(F.collect_list("o")).alias("best"))
+    picked = F.array_distinct(F.filter(F.concat(F.array("a", "colour", "brand", "grape"), "best"), lambda o: o.isNotNull()))
+    out = firsts.join(best, key).select(key, F.posexplode(F.slice(picked, 1, limit)).alias("place", "o"))
+    return out.select(key, f"o.{row}", (F.col("place") + 1).alias("place"), *[(-F.col(f"o.{k}")).alias(k) for k in kinds])
+
+
+# ---- fixed values: what agreeing and differing attributes add to a candidate's score ----
+COLOUR_SAME, COLOUR_OTHER, GRAPE_SHARE, SWEET_SAME, SWEET_OTHER = 0.18, -0.25, 0.16, 0.10, -0.08
+MAKER_NAMED, REGION_NAMED, TASTE_SHARED, TASTE_MOST = 0.05, 0.04, 0.02, 0.06
+# ---- end of fixed values ----
+
+
+def bonus(asked: str, card: str) -> Column:
+    """What a card's attributes add to its score for a request; `asked` and `card` are struct columns of signals, `asked` with
+    the telling words of its text (`useful`)."""
+    a, c = F.col(asked), F.col(card)
+    agree = lambda f, same, other: F.when(a[f].isNull() | c[f].isNull(), 0.0).when(a[f] == c[f], same).otherwise(other)
+    grapes = F.when((F.size(a["grapes"]) > 0) & (F.size(c["grapes"]) > 0), GRAPE_SHARE * F.size(F.array_intersect(a["grapes"], c["grapes"])) / F.size(a["grapes"])).otherwise(0.0)
+    named = lambda f, w: F.when(F.arrays_overlap(a["useful"], c[f]), w).otherwise(0.0)
+    tastes = F.least(F.lit(TASTE_MOST), TASTE_SHARED * F.size(F.array_intersect(a["tastes"], c["tastes"])))
+    return agree("colour", COLOUR_SAME, COLOUR_OTHER) + agree("sweetness", SWEET_SAME, SWEET_OTHER) + grapes + named("makers", MAKER_NAMED) + named("regions", REGION_NAMED) + tastes
+
+
+def conflicts(asked: str, card: str) -> Column:
+    """Whether a request and a card name different colours, or grapes of which none is shared."""
+    a, c = F.col(asked), F.col(card)
+    colours = F.coalesce(a["colour"] != c["colour"], F.lit(False))
+    return colours | F.coalesce((F.size(a["grapes"]) > 0) & (F.size(c["grapes"]) > 0) & ~F.arrays_overlap(a["grapes"], c["grapes"]), F.lit(False))
+
+
+def same_listing(slug: Column, name: Column, other_slug: Column, other_name: Column) -> Column:
+    """Whether two rows are one card: copies of one slug, or the same name."""
+    flat = lambda n: F.lower(F.trim(F.regexp_replace(F.coalesce(n, F.lit("")), "\\s+", " ")))
+    stems = F.coalesce((T.copy_stem(slug) == T.copy_stem(other_slug)) & (slug != "") & (T.copy_stem(slug) != ""), F.lit(False))
+    return stems | ((flat(name) != "") & (flat(name) == flat(other_name)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarspark.functions import labels as L
@@ -12,6 +12,7 @@ from cellarspark.operators import signals as G
 from cellarspark.plans import sqltext as S
 from cellarspark.plans.index_queries import _FIRST, catalog
 from cellarspark.plans.match_queries import _WORDS, seen_words
+from cellarspark.plans.lineage import cut
 from cellarspark.plans.registry import query
 from cellarspark.sources.tables import cell, table
 
@@ -25,7 +26,7 @@ _ALIAS = W.CLIPPED_GRAPES | W.LATIN_GRAPES
 
 def grapes(spark: SparkSession, folder: str) -> DataFrame:
     """(grape): the words of the catalog's grapes."""
-    return catalog(spark, folder).select(F.explode(T.tokens("grape")).alias("grape")).distinct()
+    return cut(catalog(spark, folder).select(F.explode(T.tokens("grape")).alias("grape")).distinct())
 
 
 @query(f"""
@@ -38,8 +39,10 @@ SELECT word, {S.brut('word')} AS brut, {S.repair('word')} AS repaired, {_READABL
 def word_readings(spark: SparkSession, folder: str) -> DataFrame:
     """How every observed word can be read and whether it may be asked for."""
     w = F.col("word")
-    return seen_words(spark, folder).select(
-        "word", L.brut_misread(w).alias("brut"), L.repair_reading(w).alias("repaired"), L.readable(w).alias("readable"), L.word_script(w).alias("script"), L.mostly_latin(w).alias("latin"), L.latin_reading(w).alias("latin_form"),
+    words = seen_words(spark, folder)
+    fillers = G.near_fillers(words).withColumn("filler", F.lit(True))
+    return words.join(fillers, "word", "left").select(
+        "word", L.brut_misread(w).alias("brut"), L.repair_reading(w).alias("repaired"), L.readable(w, F.coalesce("filler", F.lit(False))).alias("readable"), L.word_script(w).alias("script"), L.mostly_latin(w).alias("latin"), L.latin_reading(w).alias("latin_form"),
         L.shown_word(w).alias("shown"), L.twin_key(w).alias("twin"), L.asked_word(w).alias("asked"), L.common_grape(w).alias("common_grape"),
     )
 
@@ -47,9 +50,7 @@ def word_readings(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"SELECT word, {S.colour('word', 'g.grape IS NOT NULL')} AS colour, {S.sweet('word')} AS sweetness FROM {_WORDS} LEFT JOIN {_GRAPES} g ON g.grape = word")
 def word_classes(spark: SparkSession, folder: str) -> DataFrame:
     """The colour and the sweetness that every observed word means."""
-    known = grapes(spark, folder).select(F.col("grape").alias("word"), F.lit(True).alias("known"))
-    j = seen_words(spark, folder).join(known, "word", "left")
-    return j.select("word", L.colour_of_word(F.col("word"), F.coalesce("known", F.lit(False))).alias("colour"), L.sweetness_of_word(F.col("word")).alias("sweetness"))
+    return G.class_words(seen_words(spark, folder), grapes(spark, folder)).withColumnRenamed("sweet", "sweetness")
 
 
 _STOP = S.quoted(W.GRAPE_STOP)
@@ -167,9 +168,6 @@ def ask_words(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_PAIRS = ", ".join(f"'{a} {b}': '{v}'" for (a, b), v in W.GRAPE_PAIRS.items())
-
-
 @query(f"""
 WITH t AS (SELECT row_idx, {S.tokens('grape')} AS g FROM strapi_output0709)
 SELECT row_idx, array_to_string(list_transform(g, lambda x: {S.shown('x')}), ', ') AS shown, (SELECT coalesce(list_filter(string_split_regex(k, '[,;\\s]+'), lambda x: length(x) >= 4)[1], k) FROM (SELECT translate(lower({S.cell('grape')}), 'ё', 'е') AS k FROM strapi_output0709 s WHERE s.row_idx = t.row_idx)) AS grape_key FROM t""")
