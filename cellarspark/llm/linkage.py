@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +38,9 @@ DELETION = 0.35
 #: the page's score with its best record, as a part of the best score that record has with any page
 MUTUAL = 0.15
 #: records in one block of the index, and pages that meet a block at once
-RECORD_BLOCK, PAGE_BLOCK = 5_000, 2_000
+RECORD_BLOCK, PAGE_BLOCK = 50_000, 4_000
 #: postings of a block from which a term's weights are kept as a vector over the block
-DENSE = 500
+DENSE = 2_000
 #: a pair is a match from this confidence on
 CONFIDENT = 0.5
 #: what the confidence is read from
@@ -56,6 +56,7 @@ _MAKER = re.compile(r"Производитель\s*[:—–-]\s*([^;\n]+)")
 _SLUG = re.compile(r"/([a-z]+(?:-[a-z]+){1,7})(?:-\d+)?/?$")
 
 
+@lru_cache(maxsize=50_000)
 def colour_of(text: str | None) -> str:
     """The one colour that a text names, '' for none or several."""
     low = (text or "").lower()
@@ -68,9 +69,10 @@ def words_of(text: str | None) -> list[str]:
     return [romanise(w) for w in _WORD.findall(text or "") if w.lower() not in NOISE]
 
 
-def deletions(word: str) -> list[str]:
+@lru_cache(maxsize=50_000)
+def deletions(word: str) -> tuple[str, ...]:
     """The word and its spellings with one letter left out; two words one edit apart share one of them."""
-    return list(dict.fromkeys([word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]))
+    return tuple(dict.fromkeys([word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]))
 
 
 def own_script(words: list[str]) -> list[str]:
@@ -217,14 +219,14 @@ def index_blocks(postings: DataFrame, total: int) -> DataFrame:
         kinds = g["kind"].to_numpy()[starts]
         # what a label weighs, spelled out
         own = np.bincount(g["row"], weights=np.where(g["kind"] == "l", g["w"], 0.0), minlength=len(record))
-        parts = (record, keys, np.append(starts, len(g)).astype(np.int64), g["row"].to_numpy(np.int32), g["w"].to_numpy(np.float64)[starts], np.isin(kinds, ("l", "d", "c")), own)
+        parts = (record, keys, np.append(starts, len(g)).astype(np.int64), g["row"].to_numpy(np.int32), g["w"].to_numpy(np.float32)[starts], np.isin(kinds, ("l", "d", "c")), own)
         return pd.DataFrame([[int(g["block"].iloc[0]), *(p.tobytes() for p in parts)]], columns=["block", *PARTS])
 
     return weighted.groupBy("block").applyInPandas(pack, "block int, " + ", ".join(f"{p} binary" for p in PARTS))
 
 
 #: arrays of a block and their types
-PARTS = {"record": np.int64, "keys": np.int64, "starts": np.int64, "rows": np.int32, "weights": np.float64, "labelled": np.bool_, "own": np.float64}
+PARTS = {"record": np.int64, "keys": np.int64, "starts": np.int64, "rows": np.int32, "weights": np.float32, "labelled": np.bool_, "own": np.float64}
 
 
 class Block:
@@ -232,10 +234,10 @@ class Block:
 
     def __init__(self, parts: dict[str, np.ndarray]) -> None:
         self.parts = parts
-        self.total = np.zeros(len(parts["record"]))
+        self.total = np.zeros(len(parts["record"]), dtype=np.float32)
         self.dense: dict[int, np.ndarray] = {}
         for k in np.flatnonzero(np.diff(parts["starts"]) >= DENSE):
-            v = np.zeros(len(parts["record"]))
+            v = np.zeros(len(parts["record"]), dtype=np.float32)
             v[self.rows(k)] = parts["weights"][k]
             self.dense[int(k)] = v
 
@@ -244,7 +246,8 @@ class Block:
 
     def best_two(self, terms: np.ndarray, said: int) -> list[tuple[int, float, float, float]]:
         """(record, score, parts of its label covered by the first `said` terms and by all) of the two best records that share a
-        label term with the page; equal scores go to the smaller record.  Distinct terms, in any order."""
+        label term with the page; equal scores go to the smaller record; the parts are those of the best one only.  Distinct
+        terms, in any order."""
         keys, weights, total = self.parts["keys"], self.parts["weights"], self.total
         if not len(keys) or not len(terms):
             return []
@@ -271,11 +274,10 @@ class Block:
                 break
             row = may[scores == top].min()
             covered = told = 0.0
-            for k, own, mine in zip(label, lists, named[labelled]):
-                i = np.searchsorted(own, row)
-                if i < len(own) and own[i] == row:
-                    told += weights[k]
-                    covered += weights[k] * mine
+            if not out:
+                has = np.array([own[min(own.searchsorted(row), len(own) - 1)] == row for own in lists])
+                told = float(weights[label[has]].sum())
+                covered = float(weights[label[has & named[labelled]]].sum())
             whole = max(1e-9, self.parts["own"][row])
             out.append((int(self.parts["record"][row]), float(top) * (K1 + 1) / (1 + K1), min(1.0, covered / whole), min(1.0, told / whole)))
             scores[may == row] = -1.0
