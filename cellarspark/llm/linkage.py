@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +81,11 @@ def own_script(words: list[str]) -> list[str]:
     return [f"c:{k}" for w in words if len(w) >= 5 and romanise(w) != w.lower() for k in deletions(w.lower())]
 
 
+def term_key(term: str) -> int:
+    """A term as a number, by which both sides meet."""
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def slug_label(slug: str | None) -> list[str]:
     """The label's words in an address: without a copy's number and a colour at the end."""
     parts = [p for p in (slug or "").lower().split("-") if p]
@@ -177,7 +183,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def records(catalog: DataFrame) -> DataFrame:
-    """(label, cards, terms) by label and maker: copies and colours of one label are one record of the index, whatever their number.
+    """(row_idx, label, maker, colour, terms, kinds) of every card: the keys of its terms and their kinds.
 
     Of repeated slugs the row with the smallest row_idx counts; rows without a slug count each for itself.
     """
@@ -195,10 +201,10 @@ def records(catalog: DataFrame) -> DataFrame:
                 label, terms = record_terms(r["slug"], name, r["winery"], r["grape"])
                 colour = colour_of(r["category"]) or colour_of(name) or SHADES.get((r["color"] or "").strip().lower(), "")
                 maker = " ".join(words_of(r["winery"]))
-                out.append({"row_idx": r["row_idx"], "label": label, "maker": maker, "colour": colour, "terms": terms})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("row_idx", pa.int64()), ("label", pa.string()), ("maker", pa.string()), ("colour", pa.string()), ("terms", pa.list_(pa.string()))]))
+                out.append({"row_idx": r["row_idx"], "label": label, "maker": maker, "colour": colour, "terms": [term_key(t) for t in terms], "kinds": [t[0] for t in terms]})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("row_idx", pa.int64()), ("label", pa.string()), ("maker", pa.string()), ("colour", pa.string()), ("terms", pa.list_(pa.int64())), ("kinds", pa.list_(pa.string()))]))
 
-    return first.mapInArrow(build, "row_idx long, label string, maker string, colour string, terms array<string>").where("label <> ''")
+    return first.mapInArrow(build, "row_idx long, label string, maker string, colour string, terms array<long>, kinds array<string>").where("label <> ''")
 
 
 def index_blocks(postings: DataFrame, total: int) -> DataFrame:
@@ -297,25 +303,23 @@ def link(pages: DataFrame, catalog: DataFrame) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, norm = mojibake.Bigrams(counts), lookalike.Normaliser(chars)
-        schema = pa.schema([("cache_id", pa.int64()), ("every", pa.list_(pa.string())), ("said", pa.int32()), ("words", pa.string()), ("title", pa.string()), ("colour", pa.string())])
+        schema = pa.schema([("cache_id", pa.int64()), ("every", pa.list_(pa.int64())), ("said", pa.int32()), ("words", pa.string()), ("title", pa.string()), ("colour", pa.string())])
         for b in batches:
             out = []
             for r in b.to_pylist():
                 name = lookalike.normalise(mojibake.repair(r["name"], model)[0], norm)[0] or ""
                 text = mojibake.repair(r["text"], model)[0] or ""
                 every, said, e = page_terms(name, r["winery"] or "", r["color"] or "", r["grape"] or "", r["source"] or "", text)
-                out.append({"cache_id": r["cache_id"], "every": every, "said": said, **e})
+                out.append({"cache_id": r["cache_id"], "every": [term_key(t) for t in every], "said": said, **e})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     source = pages.select("cache_id", "name", "winery", "color", "grape", "source", "text")
-    hashed = F.transform("every", lambda t: F.xxhash64(t))
-    asked = source.mapInArrow(build, "cache_id long, every array<string>, said int, words string, title string, colour string")
-    asked = cut(asked.withColumn("every", hashed)).withColumn("page", F.monotonically_increasing_id())
+    asked = cut(source.mapInArrow(build, "cache_id long, every array<long>, said int, words string, title string, colour string")).withColumn("page", F.monotonically_increasing_id())
 
     cards = records(catalog).withColumn("record", F.xxhash64("label", "maker"))
     # copies and colours of a label are one record with the terms of all of them
-    cards = cut(cards.withColumn("terms", F.transform("terms", lambda t: F.struct(F.xxhash64(t).alias("term"), F.substring(t, 1, 1).alias("kind")))))
-    postings = cards.select("record", F.explode("terms").alias("t")).select("record", "t.term", "t.kind").distinct()
+    cards = cut(cards)
+    postings = cards.select("record", F.explode(F.arrays_zip("terms", "kinds")).alias("t")).select("record", F.col("t.terms").alias("term"), F.col("t.kinds").alias("kind")).distinct()
     total = cards.select("record").distinct().count()
     index = cut(index_blocks(postings, total))
 

@@ -23,7 +23,9 @@ from cellarspark.plans.lineage import cut
 #: texts that one block of the flight holds on average
 BLOCK = 50_000
 #: a text above this part of its source's wanted tokens is placed before the flight; no more than LONG_TEXTS of a source are
-LONG_PART, LONG_TEXTS = 0.01, 5_000
+LONG_PART, LONG_TEXTS = 0.01, 1_000
+#: sources with a target, at most; more are refused
+MAX_SOURCES = 1_000
 EPS = 1e-9
 
 
@@ -64,8 +66,11 @@ def land(prob: list[float], size: list[float]) -> list[int]:
 
 def _plan(texts: DataFrame, targets: DataFrame, total_tokens: float | None) -> dict[str, tuple[float, int, int]]:
     """source -> (uses wanted per text, at most, texts); the total is the largest at which every share can be met, if not given."""
-    wanted = {r.source: (r.target_share, r.max_repeat) for r in targets.collect() if r.source is not None and (r.target_share or 0) > 0 and (r.max_repeat or 0) > 0}
-    have = {r.source: (r.tokens, r.n) for r in texts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect() if r.source in wanted}
+    goals = targets.select("source", "target_share", "max_repeat").limit(MAX_SOURCES + 1).collect()
+    if len(goals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources have a target")
+    wanted = {r.source: (r.target_share, r.max_repeat) for r in goals if r.source is not None and (r.target_share or 0) > 0 and (r.max_repeat or 0) > 0}
+    have = {r.source: (r.tokens, r.n) for r in texts.where(F.col("source").isin(*wanted)).groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()} if wanted else {}
     if not have:
         return {}
     top = min(m * have[s][0] / t if s in have else 0.0 for s, (t, m) in wanted.items())
@@ -99,11 +104,11 @@ def draw(texts: DataFrame, targets: DataFrame, id_col: str, total_tokens: float
     if not plan:
         return rows.select(F.col("id").alias(id_col), "source", "tokens", F.lit(0).alias("uses")).limit(0)
     spark = rows.sparkSession
-    have = {r.source: r.tokens for r in rows.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect() if r.source in plan}
+    have = {r.source: r.tokens for r in rows.where(F.col("source").isin(*plan)).groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
     limit = {s: max(LONG_PART * r * have[s], have[s] / LONG_TEXTS) for s, (r, _, _) in plan.items()}
     limits = F.broadcast(spark.createDataFrame(list(limit.items()), "source string, long_from double"))
     sided = rows.join(limits, "source")
-    # texts above a part of the source's tokens: their number is bounded by the inverse of the part
+    # texts above a part of the source's tokens: at most LONG_TEXTS of each of at most MAX_SOURCES sources
     longs: dict[str, list] = {}
     for x in sorted(sided.where("tokens > long_from").collect(), key=lambda x: (-x.tokens, x.row)):
         longs.setdefault(x.source, []).append(x)

@@ -71,6 +71,8 @@ _SOFT = set("»ё–—…’‘“”„•№\xa0" + RU.upper())
 _ORDINARY = set(ALPHABET + ALPHABET.upper() + "0123456789" + PLAIN_MARKS)
 _PLAUSIBLE = re.compile("[\x80-ÿŒœŸЀ-џҐґ -⁯₠-₿℀-⋿─-➿﻿�]+")
 _LOST = re.compile(r"�|\?{2,}|(?<=[^\W\d_])\?(?=[^\W\d_])")
+#: two or three question marks after a word are emphasis, not lost letters
+_EMPHASIS = re.compile(r"(?<=[^\W\d_]{3})\?{2,3}(?=\s|$)")
 _URLISH = re.compile(r"\S*(?:://|www\.)\S*")
 #: something that clean text of the three languages does not show: foreign characters, inverted capitals, runs of accents
 _SUSPECT = re.compile(
@@ -255,7 +257,7 @@ def repair(text: str | None, model: Bigrams | None) -> tuple[str | None, bool, b
     """(restored text, was any part garbled, was anything lost for good). None and '' are clean."""
     if not text:
         return text, False, False
-    lost = bool(_LOST.search(text) and _LOST.search(_URLISH.sub("", text)))
+    lost = bool(_LOST.search(text) and _LOST.search(_EMPHASIS.sub("", _URLISH.sub("", text))))
     if not lost and not _SUSPECT.search(text):
         return text, False, False
     garbled, pair, table, left = lost, None, None, []

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from cellarspark.plans.lineage import cut
 
-#: tokens that one window holds on average
-WINDOW_TOKENS = 1_000_000
+#: tokens that one window holds on average, but room for at least so many containers
+WINDOW_TOKENS, WINDOW_CONTAINERS = 1_000_000, 50
+#: capacities at once, and tokens of a container (bits of the dynamic program), at most; more are refused
+MAX_CAPACITIES, MAX_CAPACITY = 1_000, 1 << 22
 #: containers that one window may have
 CONTAINERS_A_WINDOW = 1 << 24
 
@@ -77,7 +79,8 @@ def fill_containers(sizes: DataFrame, capacities: DataFrame, id_col: str) -> Dat
     """(capacity_id, capacity_tokens, container_id, id, piece_no, n_pieces, token_from, tokens): the container of every piece
     of every text, for each capacity.
 
-    `sizes` has (id, tokens), `capacities` (capacity_id, capacity_tokens), the latter with up to a thousand rows.  A text
+    `sizes` has (id, tokens), `capacities` (capacity_id, capacity_tokens); more than MAX_CAPACITIES rows or a capacity above
+    MAX_CAPACITY are refused with an error.  Every text is packed once a capacity.  A text
     larger than the capacity is cut into full pieces and a rest; a text of no tokens is one piece of 0 tokens in its window's
     first container; repeated rows are packed each for itself.  NULL sizes count as 0; capacities that are NULL or below 1
     give no rows.
@@ -86,11 +89,15 @@ def fill_containers(sizes: DataFrame, capacities: DataFrame, id_col: str) -> Dat
     rows = cut(sizes.select(F.col(id_col).alias("id"), F.coalesce(F.col("tokens"), F.lit(0)).cast("long").alias("tokens"), F.monotonically_increasing_id().alias("row")))
     total = rows.agg(F.sum("tokens")).first()[0] or 0
     count = rows.count()
-    windows = max(1, round(total / WINDOW_TOKENS), count // 50_000)
-    caps = F.broadcast(capacities.where("capacity_tokens >= 1").select("capacity_id", F.col("capacity_tokens").cast("long").alias("capacity_tokens")).limit(1000))
-    each = rows.crossJoin(caps)  # a few capacities, sent to every task
+    good = capacities.where("capacity_tokens >= 1").select("capacity_id", F.col("capacity_tokens").cast("long").alias("capacity_tokens"))
+    size, largest = good.agg(F.count("*"), F.max("capacity_tokens")).first()
+    if size > MAX_CAPACITIES or (largest or 0) > MAX_CAPACITY:
+        raise ValueError(f"{size} capacities up to {largest} tokens; at most {MAX_CAPACITIES} up to {MAX_CAPACITY} are packed")
+    window_tokens = F.greatest(F.lit(WINDOW_TOKENS), F.col("capacity_tokens") * WINDOW_CONTAINERS)
+    windows = F.greatest(F.lit(1), F.round(F.lit(total) / window_tokens).cast("long"), F.lit(count // 500_000))
+    each = rows.crossJoin(F.broadcast(good.withColumn("windows", windows)))  # as many copies as capacities: their number is checked
     pieces = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity_tokens"))).cast("int")
-    each = each.withColumn("n_pieces", pieces).withColumn("window", F.pmod(F.xxhash64("row"), F.lit(windows)).cast("long"))
+    each = each.withColumn("n_pieces", pieces).withColumn("window", F.pmod(F.xxhash64("row"), F.col("windows")).cast("long"))
     cap_type = dict(capacities.dtypes)["capacity_id"]
 
     def one_window(g: pd.DataFrame) -> pd.DataFrame:
@@ -107,6 +114,7 @@ def fill_containers(sizes: DataFrame, capacities: DataFrame, id_col: str) -> Dat
                 toks.append(min(cap, t - p * cap))
         boxes = pack(toks, cap)
         return pd.DataFrame({"capacity_id": cap_id, "capacity_tokens": cap, "container_id": [window * CONTAINERS_A_WINDOW + b for b in boxes], "id": ids, "piece_no": nos, "n_pieces": ns, "token_from": starts, "tokens": toks})
+
     packed = each.select("capacity_id", "capacity_tokens", "window", "row", "id", "tokens", "n_pieces").groupBy("capacity_id", "window").applyInPandas(
         one_window, f"capacity_id {cap_type}, capacity_tokens long, container_id long, id {id_type}, piece_no int, n_pieces int, token_from long, tokens long"
     )
