@@ -106,13 +106,13 @@ def readable(c: Column, filler: Column | None = None) -> Column:
 
 def word_script(c: Column) -> Column:
     """lat for a word with letters only Latin has and none only Cyrillic has, else cyr."""
-    v = T.script_votes(c)
+    v = T.votes(c)
     return F.when((v["latin"] > 0) & (v["cyrillic"] == 0), "lat").otherwise("cyr")
 
 
 def mostly_latin(c: Column) -> Column:
     """Whether unambiguous letters, else look-alike ones, vote for Latin."""
-    v = T.script_votes(c)
+    v = T.votes(c)
     return F.when(v["cyrillic"] != v["latin"], v["latin"] > v["cyrillic"]).otherwise(v["look_latin"] > v["look_cyrillic"])
 
 

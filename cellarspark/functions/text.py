@@ -28,20 +28,23 @@ def letters_in(c: Column, letters: str) -> Column:
     return F.length(c) - F.length(F.translate(c, letters, ""))
 
 
-def script_votes(c: Column | str) -> Column:
-    """struct(latin, cyrillic, look_latin, look_cyrillic): letters that only one script has, and letters that look alike."""
+def votes(c: Column | str) -> dict[str, Column]:
+    """latin, cyrillic, look_latin, look_cyrillic: how many letters of a word only one script has, and how many look alike."""
     c = column(c)
     latin_all, cyr_all = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"
     only_latin = "".join(x for x in latin_all if x not in W.LOOK_LATIN)
     only_cyr = "".join(x for x in cyr_all if x not in W.LOOK_CYRILLIC)
-    return F.struct(
-        letters_in(c, only_latin).alias("latin"), letters_in(c, only_cyr).alias("cyrillic"), letters_in(c, W.LOOK_LATIN).alias("look_latin"), letters_in(c, W.LOOK_CYRILLIC).alias("look_cyrillic")
-    )
+    return {"latin": letters_in(c, only_latin), "cyrillic": letters_in(c, only_cyr), "look_latin": letters_in(c, W.LOOK_LATIN), "look_cyrillic": letters_in(c, W.LOOK_CYRILLIC)}
+
+
+def script_votes(c: Column | str) -> Column:
+    """The votes of a word as one struct."""
+    return F.struct(*[v.alias(k) for k, v in votes(c).items()])
 
 
 def mostly_cyrillic(c: Column | str) -> Column:
     """Whether unambiguous letters, else look-alike ones, vote for Cyrillic."""
-    v = script_votes(c)
+    v = votes(c)
     return F.when(v["cyrillic"] != v["latin"], v["cyrillic"] > v["latin"]).otherwise(v["look_cyrillic"] > v["look_latin"])
 
 

@@ -33,7 +33,7 @@ def build_lexicon(words: DataFrame) -> DataFrame:
 
 def _forms(word: Column) -> Column:
     """The readings of a word in the order they are tried, each with the script of the entries it may meet."""
-    v = T.script_votes(word)
+    v = T.votes(word)
     read = lambda form, script: F.struct(form.alias("form"), F.lit(script).alias("script"))
     repaired, latin = L.repair_reading(word), F.translate(word, W.LOOK_CYRILLIC, W.LOOK_LATIN)
     mixed = F.array(read(repaired, "cyr"), read(latin, "lat"))
@@ -72,7 +72,7 @@ def match_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     for x in found[1:]:
         looked = looked.unionByName(x)
     hits = read.join(looked, ["form", "script"]).select("word", (F.col("o") + 1).alias("o"), "canonical", "kind", "score")
-    v = T.script_votes(w)
+    v = T.votes(w)
     stray = asked.where((F.length(w) >= 4) & (v["latin"] == 1) & (v["cyrillic"] > 0)).withColumn("read", F.regexp_replace(F.translate(w, W.LOOK_LATIN, W.LOOK_CYRILLIC), f"[{W.DISTINCT_LATIN}]", "N"))
     own = entries.where("not alias and script = 'cyr'")
     snapped = fuzzy.unique_wildcard(stray, own, "read", "key", "canonical", "N", 4).join(stray, "read").join(own.select("canonical", "kind").distinct(), "canonical").select("word", F.lit(9).alias("o"), "canonical", "kind", F.lit(0.90).alias("score"))

@@ -80,3 +80,29 @@ def drop_near_equal(candidates: DataFrame, key: str, order: str, vec: str, limit
         grown = F.when(F.col("next").isNotNull(), F.concat("kept", F.array("next"))).otherwise(F.col("kept"))
         kept = cut(kept.join(found, F.col("k").eqNullSafe(F.col("of")), "left").select("k", grown.alias("kept")))
     return kept.select(F.col("k").alias(key), F.transform("kept", lambda x: x["o"].cast("bigint")).alias("kept"))
+
+
+def fit_logistic(rows: DataFrame, features: list[str], label: str, rounds: int = 60, rate: float = 1.0, ridge: float = 1e-4) -> list[float]:
+    """The packed head of a logistic curve over standardised features (weights, bias, means, deviations).
+
+    Full-batch gradient steps; each is one aggregate of as many sums as features, whatever the number of rows.  Rows with a NULL
+    label are left out, NULL features count as 0; no rows or one class give weights of 0.
+    """
+    known = cut(rows.where(F.col(label).isNotNull()).select(*[F.coalesce(F.col(f), F.lit(0.0)).cast("double").alias(f"x{k}") for k, f in enumerate(features)], F.col(label).cast("double").alias("y")))
+    xs = [f"x{k}" for k in range(len(features))]
+    stats = known.agg(F.count("*").alias("n"), F.avg("y").alias("y"), *[F.avg(x).alias(f"m_{x}") for x in xs], *[F.stddev_pop(x).alias(f"s_{x}") for x in xs]).first()
+    n = stats["n"]
+    mean = [float(stats[f"m_{x}"] or 0.0) for x in xs]
+    std = [float(stats[f"s_{x}"] or 0.0) for x in xs]
+    w, b = [0.0] * len(xs), 0.0
+    if n and 0.0 < stats["y"] < 1.0:
+        z = [(F.col(x) - m) / (s if s >= 1e-6 else 1.0) for x, m, s in zip(xs, mean, std)]
+        for _ in range(rounds):
+            raw = F.lit(b)
+            for x, k in zip(z, w):
+                raw = raw + x * k
+            miss = 1 / (1 + F.exp(-raw)) - F.col("y")
+            grad = known.agg(F.avg(miss).alias("b"), *[F.avg(miss * x).alias(f"g{k}") for k, x in enumerate(z)]).first()
+            b -= rate * grad["b"]
+            w = [k - rate * (grad[f"g{i}"] + ridge * k) for i, k in enumerate(w)]
+    return [*w, b, *mean, *std]

@@ -26,9 +26,28 @@ def read_catalog(spark: SparkSession, path: str, headers: dict[str, str]) -> Dat
     return first_rows(named.select(F.monotonically_increasing_id().alias("row_idx"), *cols), "slug", "row_idx")
 
 
-def read_json_records(spark: SparkSession, path: str, schema: t.StructType | str) -> DataFrame:
-    """Records of a JSON array or of lines; fields that do not fit the schema are NULL, broken records are dropped."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+def json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a JSON file has one record a line: its first character that is no blank opens no array, and its first line ends
+    the record that it opens."""
+    first = spark.read.text(path).where(F.trim("value") != "").select(F.trim("value")).first()
+    return first is not None and not first[0].startswith("[") and first[0].endswith("}")
+
+
+def read_json_records(spark: SparkSession, path: str, schema: t.StructType | str, lines: bool | None = None, broken: bool = False) -> DataFrame:
+    """Records of a JSON array or of lines (found out from the file unless `lines` tells); fields that do not fit are NULL.
+
+    Broken records are left out; with `broken` they are what comes out instead, as `record`, so that none is lost unseen.
+    An empty file has no records.
+    """
+    schema = t._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    by_line = json_lines(spark, path) if lines is None else lines
+    full = t.StructType([*schema.fields, t.StructField("__broken", t.StringType())])
+    rows = spark.read.schema(full).option("multiLine", not by_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__broken").json(path)
+    if not broken:
+        return rows.where(F.col("__broken").isNull()).drop("__broken")
+    # the text of a broken record can only be asked for beside its fields
+    first = F.col(f"`{schema.fields[0].name}`")
+    return rows.where(F.col("__broken").isNotNull() & (first.isNull() | first.isNotNull())).select(F.col("__broken").alias("record"))
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,3 +84,11 @@ def public_json(result: DataFrame) -> DataFrame:
     sure = F.when(F.col("method").isin("barcode", "qr", "code") & (F.col("status") == "found"), F.lit(1.0)).otherwise(F.col("confidence"))
     keep = [c for c in result.columns if c not in ("request", "confidence")]
     return result.select("request", F.to_json(F.struct(*keep, sure.alias("confidence"))).alias("body"))
+
+
+def public_view(result: DataFrame, cells: list[str], empty: str = "") -> DataFrame:
+    """One answer a request: a found one shows its card's cells and slug, any other none of them, only its candidates."""
+    found = F.col("status") == "found"
+    status = F.when(found, "found").when(F.col("status") == "not_in_catalog", "not_in_catalog").otherwise("not_found")
+    shown = [F.when(found, F.coalesce(c, F.lit(empty))).otherwise(F.lit(empty)).alias(c) for c in cells]
+    return result.select("request", status.alias("status"), F.when(found, F.col("slug")).alias("slug"), F.round(F.coalesce("confidence", F.lit(0.0)), 4).alias("confidence"), *shown)

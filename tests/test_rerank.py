@@ -69,6 +69,21 @@ def test_images_and_json(spark, tmp_path) -> None:
     assert [tuple(r) for r in files.read_json_records(spark, str(tmp_path / "r.json"), "k string, n int").collect()] == [("a", 1), ("b", None)]
 
 
+def test_json_lines_lose_no_record(spark, tmp_path) -> None:
+    (tmp_path / "l.json").write_text('{"k": "a", "n": 1}\n{"k": "b"}\n{"k": "c", "n": 3}\n{"k": broken\n')
+    read = lambda **k: files.read_json_records(spark, str(tmp_path / "l.json"), "k string, n int", **k)
+    assert sorted(tuple(r) for r in read().collect()) == [("a", 1), ("b", None), ("c", 3)]
+    assert [r.record for r in read(broken=True).collect()] == ['{"k": broken']
+    assert sorted(tuple(r) for r in read(lines=True).collect()) == [("a", 1), ("b", None), ("c", 3)]
+    (tmp_path / "e.json").write_text("")
+    assert files.read_json_records(spark, str(tmp_path / "e.json"), "k string, n int").count() == 0
+
+
+def test_public_view_hides_what_was_not_found(spark) -> None:
+    df = spark.createDataFrame([(1, "found", "a", 0.98765, "N"), (2, "error", "a", None, "N")], "request int, status string, slug string, confidence double, name string")
+    assert [tuple(r) for r in files.public_view(df, ["name"]).orderBy("request").collect()] == [(1, "found", "a", 0.9877, "N"), (2, "not_found", None, 0.0, "")]
+
+
 def test_vectors_and_cache_come_back(spark, tmp_path) -> None:
     files.write_vectors(spark.createDataFrame([(0, "a", [3.0, 4.0]), (1, "b", [0.0, 0.0])], "row_idx long, slug string, embedding array<float>"), str(tmp_path / "v"))
     assert {r.slug: [round(x, 4) for x in r.embedding] for r in files.read_vectors(spark, str(tmp_path / "v")).collect()} == {"a": [0.6, 0.8], "b": [0.0, 0.0]}
