@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellarspark.operators.joins import join_even
 from cellarspark.plans.lineage import cut
 
 #: numbers of a packed head: 6 weights, a bias, 6 means, 6 deviations
@@ -34,18 +35,23 @@ def top3_score(scores: Column) -> Column:
     return F.when(F.size(s) >= 3, 0.60 * s[0] + 0.25 * s[1] + 0.15 * s[2]).when(F.size(s) == 2, 0.70 * s[0] + 0.30 * s[1]).when(F.size(s) == 1, s[0]).otherwise(0.0)
 
 
-def fuse(text: Column, visual: Column, exclusive: Column, hits: Column) -> Column:
-    """Fused score to four places: text weighs more with two distinctive hits; candidates that are not exclusive keep the visual score."""
+def fuse_exact(text: Column, visual: Column, exclusive: Column, hits: Column) -> Column:
+    """Fused score from 0 to 1: text weighs more with two distinctive hits; candidates that are not exclusive keep the visual score."""
     t, v = F.coalesce(text, F.lit(0.0)), F.coalesce(visual, F.lit(0.0))
     raw = F.when(exclusive & (hits >= 2), 0.25 * v + 0.75 * t).when(exclusive, 0.65 * v + 0.35 * t + F.when(t > 0, 0.10 * t).otherwise(0.0)).otherwise(v)
-    return F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw)), 4)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw))
+
+
+def fuse(text: Column, visual: Column, exclusive: Column, hits: Column) -> Column:
+    """`fuse_exact` to four places."""
+    return F.bround(fuse_exact(text, visual, exclusive, hits), 4)
 
 
 def min_max(df: DataFrame, key: str, score: str) -> DataFrame:
     """The rows with `scaled`: the score within its key from 0 to 1; 0 where all are equal. Aggregated before it is joined, so a hot key is no one task's work."""
     bounds = df.groupBy(key).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
     span = F.col("__hi") - F.col("__lo")
-    return df.join(bounds, key).withColumn("scaled", F.when(span > 0, (F.col(score) - F.col("__lo")) / span).otherwise(0.0)).drop("__lo", "__hi")
+    return join_even(df, bounds, key).withColumn("scaled", F.when(span > 0, (F.col(score) - F.col("__lo")) / span).otherwise(0.0)).drop("__lo", "__hi")
 
 
 def evaluate(ranks: DataFrame, rank: str) -> DataFrame:

@@ -66,8 +66,8 @@ def nearest(queries: DataFrame, base: DataFrame, id_col: str, vec_col: str, k: i
                 keep = np.isfinite(score)
                 yield pa.RecordBatch.from_arrays([pa.array(left[keep]), pa.array(own[order].ravel()[keep]), pa.array(score[keep])], names=["query_id", "id", "score"])
 
-    # the pairs here are of blocks, thousands of vectors each
-    met = q.crossJoin(b).repartition("q_ids", "ids").mapInArrow(meet, "query_id long, id long, score double")
+    # the pairs here are of blocks, thousands of vectors each; they are met where the blocks lie, and only k rows a query move on
+    met = q.crossJoin(b).mapInArrow(meet, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 

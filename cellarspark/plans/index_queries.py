@@ -9,6 +9,7 @@ from cellarspark.functions import text as T
 from cellarspark.functions import words as W
 from cellarspark.operators import index as I
 from cellarspark.plans import sqltext as S
+from cellarspark.plans.lineage import cut
 from cellarspark.plans.registry import query
 from cellarspark.sources.tables import cell, table
 
@@ -180,7 +181,11 @@ def text_ask_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten texts that match an ask best by summed token weight."""
     docs = table(spark, folder, "documents")
     asked = ["ВИШНИ", "МИНДАЛЯ", "КРЫЖОВНИКА"]
-    p = docs.select("doc_id", F.explode(F.array_distinct(T.tokens("text"))).alias("token")).where(F.col("token").isin(asked))
+    # whatever a token is joined and folded from, its letters stand in the text in this order: most texts end here
+    letters = F.replace(F.translate(T.normalize("text"), W.LOOK_LATIN, W.LOOK_CYRILLIC), F.lit(" "), F.lit(""))
+    near = docs.select("doc_id", "text", letters.alias("letters")).where(" or ".join(f"contains(letters, '{w}')" for w in asked))
+    hits = F.array_intersect(T.tokens("text"), F.array(*map(F.lit, asked)))
+    p = cut(near.select("doc_id", F.explode(hits).alias("token")))
     total = F.broadcast(docs.agg(F.count("*").alias("total")))  # one row
     f = F.broadcast(p.groupBy("token").agg(F.count("*").alias("df")).crossJoin(total).select("token", I.idf(F.col("df"), F.col("total")).alias("idf")))  # one row a token asked for
     return p.join(f, "token").groupBy("doc_id").agg(F.round(F.sum("idf"), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)

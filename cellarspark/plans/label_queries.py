@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellarspark.functions import labels as L
@@ -100,7 +100,15 @@ def _flat(df: DataFrame, key: str) -> DataFrame:
 
 
 _PAGE_TEXT = "concat_ws(' ', nullif(grape, ''), nullif(color, ''), nullif(coalesce(nullif(sweetness, ''), taste), ''), nullif(taste, ''), nullif(region, ''), nullif(name, ''), nullif(text, ''))"
-PAGE_TEXT = F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in (F.col("grape"), F.col("color"), F.coalesce(F.nullif(F.col("sweetness"), F.lit("")), F.col("taste")), F.col("taste"), F.col("region"), F.col("name"), F.col("text"))])
+
+
+def page_text() -> Column:
+    """What a page says about its wine, in one text."""
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    parts = [blank("grape"), blank("color"), F.nullif(F.coalesce(blank("sweetness"), F.col("taste")), F.lit("")), *map(blank, ("taste", "region", "name", "text"))]
+    return F.concat_ws(" ", *parts)
+
+
 _ASKED = "(SELECT * FROM external_cache WHERE status = 'found' AND cache_id % 20 = 0)"
 
 
@@ -108,7 +116,7 @@ _ASKED = "(SELECT * FROM external_cache WHERE status = 'found' AND cache_id % 20
 def profile_signals(spark: SparkSession, folder: str) -> DataFrame:
     """The signals of every twentieth found page, with its maker's words."""
     pages = table(spark, folder, "external_cache").where("status = 'found' and cache_id % 20 = 0")
-    out = G.profile_signals(pages, "cache_id", PAGE_TEXT, grapes(spark, folder))
+    out = G.profile_signals(pages, "cache_id", page_text(), grapes(spark, folder))
     return _flat(out, "cache_id").join(out.select("cache_id", F.array_join(F.array_sort("brands"), " ").alias("brands")), "cache_id")
 
 

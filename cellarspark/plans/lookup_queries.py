@@ -17,7 +17,10 @@ NOW = 1_735_689_600.0
 _BODY = ("query", "status", "name", "grape")
 
 
-@query("SELECT cache_key, cached_at, cache_id, status FROM external_cache QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY cached_at DESC NULLS LAST, cache_id DESC) = 1")
+_LATEST = "SELECT cache_key, cached_at, cache_id, status FROM external_cache QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY cached_at DESC NULLS LAST, cache_id DESC) = 1"
+
+
+@query(_LATEST)
 def cache_latest(spark: SparkSession, folder: str) -> DataFrame:
     """The last entry of each lookup."""
     return C.latest(table(spark, folder, "external_cache").select("cache_key", "cached_at", "cache_id", "status"), "cache_key", "cached_at", "cache_id")
@@ -54,7 +57,7 @@ def profile_gap_fill(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "external_cache").select("cache_id", filled.alias("sweetness"), reason.alias("reason"))
 
 
-@query()
+@query(_LATEST)
 def cache_stream_latest(spark: SparkSession, folder: str) -> DataFrame:
     """The cache after its entries came as a stream."""
     return lookups.cache_from_stream(spark, folder)
@@ -155,10 +158,10 @@ def weighted_median(spark: SparkSession, folder: str) -> DataFrame:
     return c.where("2 * upto >= total").groupBy("l_returnflag").agg(F.min("x").alias("median"))
 
 
-@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS smooth FROM events")
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS smooth FROM events")
 def moving_average(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean of each event's value and the two before it of the same user and kind."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id").rowsBetween(-2, 0)
+    """Mean of each event's value, the one before and the one after it of the same user and kind."""
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id").rowsBetween(-1, 1)
     return table(spark, folder, "events").select("event_id", F.round(F.avg("value").over(w), 6).alias("smooth"))
 
 

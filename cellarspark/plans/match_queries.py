@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cellarspark.functions import text as T
 from cellarspark.functions import words as W
-from cellarspark.operators import fuzzy, vectors
+from cellarspark.operators import fuzzy, rerank, vectors
 from cellarspark.operators import index as I
+from cellarspark.operators.joins import join_even
 from cellarspark.plans import sqltext as S
 from cellarspark.plans.index_queries import _FIRST, catalog
 from cellarspark.plans.registry import query
@@ -102,12 +103,11 @@ def vector_centroid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-SELECT t.trace_id, t.logged_at, round((t.visual - m.lo) / nullif(m.hi - m.lo, 0), 6) AS scaled FROM recognition_trace t JOIN (SELECT winner_slug, min(visual) AS lo, max(visual) AS hi FROM recognition_trace GROUP BY 1) m USING (winner_slug)""")
+SELECT t.trace_id, t.logged_at, round(CASE WHEN m.hi > m.lo THEN (t.visual - m.lo) / (m.hi - m.lo) ELSE 0 END, 6) AS scaled FROM recognition_trace t JOIN (SELECT winner_slug, min(visual) AS lo, max(visual) AS hi FROM recognition_trace GROUP BY 1) m USING (winner_slug)""")
 def minmax_scale(spark: SparkSession, folder: str) -> DataFrame:
     """Scores scaled to 0 to 1 within their leader."""
     t = table(spark, folder, "recognition_trace").where("winner_slug is not null").select("trace_id", "logged_at", "winner_slug", "visual")
-    m = t.groupBy("winner_slug").agg(F.min("visual").alias("lo"), F.max("visual").alias("hi"))
-    return t.join(m, "winner_slug").select("trace_id", "logged_at", F.round((F.col("visual") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), 6).alias("scaled"))
+    return rerank.min_max(t, "winner_slug", "visual").select("trace_id", "logged_at", F.round("scaled", 6).alias("scaled"))
 
 
 @query("""
@@ -138,8 +138,8 @@ def attribute_bonus(spark: SparkSession, folder: str) -> DataFrame:
     """How well each neighbour's attributes agree with the leader's."""
     c = catalog(spark, folder).select("slug", *[cell(x).alias(x) for x in ("category", "winery", "region")], F.array_distinct(T.tokens("grape")).alias("grapes"))
     p = table(spark, folder, "recognition_trace").select("trace_id", "logged_at", "winner_slug", F.explode("neighbors").alias("n")).select("trace_id", "logged_at", "winner_slug", "n.slug", "n.visual")
-    w = c.select(*[F.col(x).alias(f"w_{x}") for x in c.columns])
-    j = p.join(w, F.col("winner_slug") == F.col("w_slug")).join(c, "slug")
+    w = c.select(F.col("slug").alias("winner_slug"), *[F.col(x).alias(f"w_{x}") for x in c.columns if x != "slug"])
+    j = join_even(join_even(p, w, "winner_slug"), c, "slug")
     bonus = (
         F.when((F.col("w_category") == "") | (F.col("category") == ""), 0.0).when(F.col("w_category") == F.col("category"), 0.18).otherwise(-0.25)
         + F.when(F.size("w_grapes") > 0, 0.16 * F.size(F.array_intersect("w_grapes", "grapes")) / F.size("w_grapes")).otherwise(0.0)
@@ -153,8 +153,9 @@ def attribute_bonus(spark: SparkSession, folder: str) -> DataFrame:
 SELECT trace_id, logged_at, round(1 / (1 + exp(-(-0.4 + 1.7 * (coalesce(visual, 0) - 0.5) / 0.2 + 0.8 * (len(neighbors) - 1.5) / 1.1))), 6) AS score FROM recognition_trace""")
 def logistic_score(spark: SparkSession, folder: str) -> DataFrame:
     """A logistic head over standardised features."""
-    z = -0.4 + 1.7 * (F.coalesce("visual", F.lit(0.0)) - 0.5) / 0.2 + 0.8 * (F.size("neighbors") - 1.5) / 1.1
-    return table(spark, folder, "recognition_trace").select("trace_id", "logged_at", F.round(1 / (1 + F.exp(-z)), 6).alias("score"))
+    head = [1.7, 0.8, 0.0, 0.0, 0.0, 0.0, -0.4, 0.5, 1.5, 0.0, 0.0, 0.0, 0.0, 0.2, 1.1, 1.0, 1.0, 1.0, 1.0]
+    features = [F.col("visual"), F.size("neighbors").cast("double"), *[F.lit(0.0)] * 4]
+    return table(spark, folder, "recognition_trace").select("trace_id", "logged_at", F.round(rerank.logistic(features, head), 6).alias("score"))
 
 
 @query(f"SELECT trace_id, logged_at, slug, round_even(visual / 0.02, 0) AS band FROM {_PAIR} WHERE visual IS NOT NULL QUALIFY row_number() OVER (PARTITION BY trace_id, logged_at ORDER BY round_even(visual / 0.02, 0) DESC, slug, visual DESC) = 1")

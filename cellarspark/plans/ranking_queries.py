@@ -13,7 +13,7 @@ from cellarspark.operators import signals as G
 from cellarspark.operators.joins import join_even
 from cellarspark.plans import sqltext as S
 from cellarspark.plans.index_queries import catalog
-from cellarspark.plans.label_queries import _ASKED, _CARDS, _PAGE_TEXT, PAGE_TEXT, _sql_signals, grapes
+from cellarspark.plans.label_queries import _ASKED, _CARDS, _PAGE_TEXT, _sql_signals, grapes, page_text
 from cellarspark.plans.lineage import cut
 from cellarspark.plans.registry import query
 from cellarspark.plans.request_queries import _LEXICON, lexicon
@@ -38,7 +38,7 @@ SELECT cache_id, row_idx, row_number() OVER (PARTITION BY cache_id ORDER BY pr)
 def attribute_rank(spark: SparkSession, folder: str) -> DataFrame:
     """The four cards nearest to every twentieth found page by attributes, with the reason in words."""
     pages = table(spark, folder, "external_cache").where("status = 'found' and cache_id % 20 = 0")
-    profiles = cut(G.profile_signals(pages, "cache_id", PAGE_TEXT, grapes(spark, folder)))
+    profiles = cut(G.profile_signals(pages, "cache_id", page_text(), grapes(spark, folder)))
     out = G.rank_by_attributes(profiles, G.card_signals(catalog(spark, folder)), "cache_id", "row_idx").join(profiles.select("cache_id", F.col("colour").alias("hue"), "sweetness"), "cache_id")
     said = lambda k: F.when(F.col(k) > 0, W.REASONS[k])
     parts = [said("grape"), said("colour"), F.when(F.col("colour") > 0, L.lookup(F.col("hue"), W.COLOUR_SHOWN)), said("sweet"), F.when(F.col("sweet") > 0, L.lookup(F.col("sweetness"), W.SWEET_SHOWN)), said("brand"), said("taste"), said("region")]

@@ -31,21 +31,25 @@ def legacy_top3_weight(spark: SparkSession, folder: str) -> DataFrame:
 _T, _V = "coalesce(final_score, 0)", "coalesce(visual, 0)"
 
 
-@query(f"SELECT trace_id, logged_at, round(least(1, greatest(0, CASE WHEN len(neighbors) = 0 THEN 0.65 * {_V} + 0.35 * {_T} + 0.10 * {_T} WHEN len(neighbors) = 1 THEN 0.25 * {_V} + 0.75 * {_T} ELSE {_V} END)), 6) AS fused FROM recognition_trace")
+_FUSED = f"SELECT trace_id, logged_at, round(least(1, greatest(0, CASE WHEN len(neighbors) = 0 THEN 0.65 * {_V} + 0.35 * {_T} + 0.10 * {_T} WHEN len(neighbors) = 1 THEN 0.25 * {_V} + 0.75 * {_T} ELSE {_V} END)), 6) AS fused FROM recognition_trace"
+
+
+@query(_FUSED)
 def fused_score(spark: SparkSession, folder: str) -> DataFrame:
     """Text and visual score in one, by how exclusive the request's candidates are."""
     n = F.size("neighbors")
-    t, v = F.coalesce("final_score", F.lit(0.0)), F.coalesce("visual", F.lit(0.0))
-    fused = F.when(n == 0, 0.65 * v + 0.35 * t + 0.10 * t).when(n == 1, 0.25 * v + 0.75 * t).otherwise(v)
-    return table(spark, folder, "recognition_trace").select("trace_id", "logged_at", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), fused)), 6).alias("fused"))
+    fused = F.round(rerank.fuse_exact(F.col("final_score"), F.col("visual"), n <= 1, F.when(n == 1, 2).otherwise(1)), 6)
+    return table(spark, folder, "recognition_trace").select("trace_id", "logged_at", fused.alias("fused"))
 
 
-@query()
+_NEAR = "(SELECT trace_id, logged_at, final_score, len(neighbors) AS size, unnest(neighbors) AS n FROM recognition_trace)"
+
+
+@query(f"SELECT trace_id, logged_at, n.slug AS slug, round(least(1, greatest(0, CASE WHEN size = 1 THEN 0.25 * coalesce(n.visual, 0) + 0.75 * {_T} ELSE coalesce(n.visual, 0) END)), 6) AS fused FROM {_NEAR}")
 def fused_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """The fusion operator over all requests."""
-    n = F.size("neighbors")
-    fused = rerank.fuse(F.col("final_score"), F.col("visual"), n <= 1, F.when(n == 1, 2).otherwise(1))
-    return table(spark, folder, "recognition_trace").select("trace_id", "logged_at", fused.alias("fused"))
+    """The fused score of every neighbour of every request."""
+    n = table(spark, folder, "recognition_trace").select("trace_id", "logged_at", "final_score", F.size("neighbors").alias("size"), F.explode("neighbors").alias("n"))
+    return n.select("trace_id", "logged_at", "n.slug", F.round(rerank.fuse_exact(F.col("final_score"), F.col("n.visual"), F.col("size") == 1, F.lit(2)), 6).alias("fused"))
 
 
 @query()
