@@ -75,3 +75,26 @@ def nearest(queries: DataFrame, base: DataFrame, id_col: str, vec_col: str, k: i
 def mean_vectors(df: DataFrame, key: str, vec_col: str) -> DataFrame:
     """(key, at, value): the mean vector of each key, position by position."""
     return df.select(key, F.posexplode(vec_col).alias("at", "x")).groupBy(key, "at").agg(F.avg(F.col("x").cast("double")).alias("value"))
+
+
+def project(df: DataFrame, id_col: str, vec_col: str, head: list[list[float]]) -> DataFrame:
+    """(id, vec): every vector times a matrix (a row an input), as a unit vector; a zero vector stays zero.
+
+    One matrix product a batch, no shuffle; vectors of another size than the head's are refused, NULL and empty ones left out.
+    """
+    kind = dict(df.dtypes)[id_col]
+    matrix = np.asarray(head, dtype=np.float64)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = b.column(1).to_pylist()
+            if {len(r) for r in rows} != {matrix.shape[0]}:
+                raise ValueError(f"the head takes vectors of {matrix.shape[0]} numbers")
+            out = np.asarray(rows, dtype=np.float64) @ matrix
+            norm = np.linalg.norm(out, axis=1, keepdims=True)
+            out = np.divide(out, norm, out=out.copy(), where=norm > 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(out), pa.list_(pa.float64()))], names=[id_col, "vec"])
+
+    return df.select(id_col, vec_col).where(F.size(vec_col) > 0).mapInArrow(multiply, f"`{id_col}` {kind}, vec array<double>")

@@ -140,3 +140,26 @@ def test_logistic_head_learns(spark) -> None:
     good = df.where("y is not null").select((rerank.logistic([F.col(c) for c in "abcdef"], head) >= 0.5).cast("int").alias("p"), "y").where("p = y").count()
     assert good >= 380
     assert rerank.fit_logistic(df.where("y = 1"), list("abcdef"), "y")[:7] == [0.0] * 7
+
+
+def test_boxes(spark) -> None:
+    from cellarspark.operators import boxes as B
+
+    sets = [(1, [(0, 0, 10, 10), (1, 1, 11, 11), (50, 50, 60, 60)]), (2, []), (3, None), (4, [(0, 0, 40, 40), (2, 0, 44, 40), (4, 0, 48, 40), (90, 0, 95, 90)])]
+    df = spark.createDataFrame(sets, "id int, boxes array<struct<x1:int,y1:int,x2:int,y2:int>>")
+    out = {r.id: [tuple(b) for b in r.boxes] for r in B.merge_overlaps(df, "id", "boxes").collect()}
+    assert out == {1: [(0, 0, 11, 11), (50, 50, 60, 60)], 2: [], 3: [], 4: [(0, 0, 48, 40), (90, 0, 95, 90)]}
+    b = df.select("id", F.size(B.drop_parts(F.col("boxes"), 100)).alias("n"), B.choose(F.col("boxes"), 100, 100).alias("c"), B.union(F.col("boxes")).alias("u")).collect()
+    got = {r.id: (r.n, r.c and tuple(r.c), r.u and tuple(r.u)) for r in b}
+    assert got[4][0] == 3 and got[4][2] == (0, 0, 95, 90) and got[1][1] == (50, 50, 60, 60) and got[2][1:] == (None, None)
+    assert B.centre(100, 100) == (0, 14, 100, 86)
+
+
+def test_vectors_through_a_head(spark) -> None:
+    from cellarspark.operators import vectors
+
+    df = spark.createDataFrame([(1, [3.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "id int, v array<float>")
+    out = {r.id: r.vec for r in vectors.project(df, "id", "v", [[1.0, 1.0], [0.0, 1.0]]).collect()}
+    assert out[1] == pytest.approx([0.5**0.5] * 2) and out[2] == [0.0, 0.0] and set(out) == {1, 2}
+    with pytest.raises(Exception, match="numbers"):
+        vectors.project(df, "id", "v", [[1.0]]).collect()
