@@ -57,20 +57,21 @@ _NAME = re.compile(f"{_CAP}(?: {_CAP})*")
 _FIGURE = re.compile(r"\d[\d.,\-–/]*")
 _SITE_NAME = re.compile(r"\S+\.[a-z]{2,}\S*")
 _WORD = re.compile(r"[^\W\d_]+")
-_FOREIGN = re.compile(r"[^\x00-\x7f]|\?")
 LINK, LOST, END, BARE = 1, 2, 4, 8
 
 
+@lru_cache(maxsize=100_000)
 def _key(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=100_000)
 def _triples(word: str) -> frozenset[str]:
     w = f" {romanise(word)} "
     return frozenset(w[i : i + 3] for i in range(len(w) - 2))
 
 
+@lru_cache(maxsize=100_000)
 def triples(text: str) -> frozenset[str]:
     """The letter triples of the words of a text in Latin spelling."""
     return frozenset().union(*(_triples(w) for w in _WORD.findall(text)))
@@ -96,13 +97,13 @@ def leaf(piece: str, own: frozenset[str]) -> tuple[str, int, int]:
             others += len(name)
         return "^"
 
-    masked = _FIGURE.sub("#", _NAME.sub(mask, _SITE_NAME.sub("@", piece)))
+    masked = _FIGURE.sub("#", _NAME.sub(mask, _SITE_NAME.sub("@", piece) if "." in piece else piece))
     return masked.lower().partition(":")[0][:OPENING].rstrip(), mine, others
 
 
 def outline(line: str) -> str:
     """A line with its words of letters beyond ASCII (or lost ones) as signs, and its figures as others."""
-    return " ".join("?" if _FOREIGN.search(w) else _FIGURE.sub("#", w) for w in line.split())
+    return " ".join("?" if not w.isascii() or "?" in w else w if w.isalpha() else _FIGURE.sub("#", w) for w in line.split())
 
 
 def parse_page(text: str, fields: list[str | None], address: str | None, model: mojibake.Bigrams | None) -> dict[str, list[int]]:
@@ -124,7 +125,7 @@ def parse_page(text: str, fields: list[str | None], address: str | None, model:
         bare = len(leaves) == 1 and leaves[0][0] == "^"
         at = len(out["no"])
         out["no"].append(no)
-        out["flags"].append(LINK * links | LOST * (len(_HOLE.findall(s)) > 2) | END * bool(_END.search(s)) | BARE * bare)
+        out["flags"].append(LINK * links | LOST * (("?" in s or "\ufffd" in s) and len(_HOLE.findall(s)) > 2) | END * bool(_END.search(s)) | BARE * bare)
         out["shape"].append(_key(outline(s)))
         for k, (_, mine, others, size) in zip(keys, leaves):
             for name, v in zip(("of", "path", "with", "size", "own", "other"), (at, k, company, size, mine, others)):
