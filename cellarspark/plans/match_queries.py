@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from cellarspark.functions import text as T
 from cellarspark.functions import words as W
 from cellarspark.operators import fuzzy, rerank, vectors
-from cellarspark.operators import index as I
 from cellarspark.operators.joins import join_even
 from cellarspark.plans import sqltext as S
 from cellarspark.plans.index_queries import _FIRST, catalog
@@ -210,18 +209,3 @@ def decision_list(spark: SparkSession, folder: str) -> DataFrame:
         .when(vgap < -0.02, False).when((v == F.col("second")) & (gap < 0.08), False).when((top >= 0.75) & (gap >= 0.20), True).otherwise(False)
     )
     return d.select("trace_id", "logged_at", rules.alias("accepted"))
-
-
-@query()
-def match_pipeline(spark: SparkSession, folder: str) -> DataFrame:
-    """Observation to card for all requests at once: tokens, dictionary, rare-token candidates, fusion with the given score, leader and lead."""
-    t = table(spark, folder, "recognition_trace")
-    cards = catalog(spark, folder)
-    post, freq = I.postings(cards, {"name": "name"}), I.token_frequencies(cards, {"name": "name"})
-    asked = t.select("trace_id", F.explode(T.tokens("ocr")).alias("token"))
-    scored = I.rare_scores(asked, post, freq, "trace_id", "slug")
-    seen = t.groupBy("trace_id").agg(F.max(F.struct("logged_at", "winner_slug", "visual")).alias("r")).select("trace_id", "r.winner_slug", F.coalesce("r.visual", F.lit(0.0)).alias("visual"))
-    fused = scored.join(seen, "trace_id").withColumn("fused", 0.75 * F.least(F.lit(1.0), F.col("score") / 10) + 0.25 * F.when(F.col("slug") == F.col("winner_slug"), F.col("visual")).otherwise(0.0))
-    top = I.top_per(fused, "trace_id", [F.desc("fused"), F.asc("slug")], 2)
-    led = top.groupBy("trace_id").agg(F.max_by("slug", -F.col("place")).alias("slug"), F.max("fused").alias("fused"), F.min(F.when(F.col("place") == 2, F.col("fused"))).alias("second"))
-    return led.select("trace_id", "slug", F.round("fused", 6).alias("fused"), F.round(F.col("fused") - F.coalesce("second", F.lit(0.0)), 6).alias("lead"))

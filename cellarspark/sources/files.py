@@ -41,13 +41,17 @@ def read_json_records(spark: SparkSession, path: str, schema: t.StructType | str
     """
     schema = t._parse_datatype_string(schema) if isinstance(schema, str) else schema
     by_line = json_lines(spark, path) if lines is None else lines
-    full = t.StructType([*schema.fields, t.StructField("__broken", t.StringType())])
-    rows = spark.read.schema(full).option("multiLine", not by_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__broken").json(path)
-    if not broken:
-        return rows.where(F.col("__broken").isNull()).drop("__broken")
-    # the text of a broken record can only be asked for beside its fields
-    first = F.col(f"`{schema.fields[0].name}`")
-    return rows.where(F.col("__broken").isNotNull() & (first.isNull() | first.isNotNull())).select(F.col("__broken").alias("record"))
+    text = spark.read.text(path, wholetext=not by_line).where(F.trim("value") != "")
+    if by_line:
+        full = t.StructType([*schema.fields, t.StructField("__broken", t.StringType())])
+        read = text.select("value", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__broken"}).alias("r"))
+        whole = F.col("r").isNotNull() & F.col("r.__broken").isNull()
+        rows = read.where(whole).select(*[F.col(f"r.`{f.name}`") for f in schema.fields])
+    else:
+        read = text.select("value", F.from_json("value", t.ArrayType(schema)).alias("r"))
+        whole = F.col("r").isNotNull()
+        rows = read.where(whole).select(F.explode("r").alias("r")).select("r.*")
+    return read.where(~whole).select(F.col("value").alias("record")) if broken else rows
 
 
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
