@@ -123,6 +123,25 @@ def test_mix_reaches_its_shares(spark) -> None:
     assert mixing.draw(df, goal.limit(0), "doc_id").count() == 0
 
 
+def test_too_many_capacities_and_sources_are_refused(spark) -> None:
+    sizes = spark.createDataFrame([(1, 5)], "doc_id long, tokens long")
+    many = spark.range(packing.MAX_CAPACITIES + 1).select(F.col("id").cast("int").alias("capacity_id"), (F.col("id") + 10).alias("capacity_tokens"))
+    with pytest.raises(ValueError, match="capacities"):
+        packing.fill_containers(sizes, many, "doc_id")
+    assert packing.fill_containers(sizes, many.limit(packing.MAX_CAPACITIES), "doc_id").count() == packing.MAX_CAPACITIES
+    goals = spark.range(mixing.MAX_SOURCES + 1).select(F.col("id").cast("string").alias("source"), F.lit(0.001).alias("target_share"), F.lit(1).alias("max_repeat"))
+    texts = spark.createDataFrame([(1, "5", 5)], "doc_id long, source string, tokens long")
+    with pytest.raises(ValueError, match="sources"):
+        mixing.draw(texts, goals, "doc_id")
+
+
+def test_a_window_holds_many_large_containers(spark) -> None:
+    sizes = spark.createDataFrame([(i, 30_000 + i % 7 * 9_000) for i in range(300)], "doc_id long, tokens long")
+    caps = spark.createDataFrame([(1, 400_000)], "capacity_id int, capacity_tokens long")
+    boxes = packing.fill_containers(sizes, caps, "doc_id").groupBy("container_id").agg(F.sum("tokens").alias("t")).collect()
+    assert sum(r.t for r in boxes) / (400_000 * len(boxes)) > 0.95
+
+
 WORDS = [("ru", w) for w in "и в не на что он с по из это к но".split()] + [("en", w) for w in "the of and a to in is it".split()]
 FORMS = [
     ("Вино выдержали в бочке, и оно не потеряло тон, но это не всё. На второй день он стал мягче.", "prose"),

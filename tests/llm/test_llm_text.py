@@ -176,3 +176,8 @@ def test_garbled_and_lost_letters(spark) -> None:
     out = boilerplate.main_lines(spark.createDataFrame(rows, PAGE), "cache_id", "text", ["name"], "source").where("cache_id in (7, 9)").collect()
     assert {(r.cache_id, r.line_no) for r in out} >= {(k, n) for k in (7, 9) for n in (6, 8)}
     assert not {(7, n) for n in (1, 2, 7, 10, 11, 12)} & {(r.cache_id, r.line_no) for r in out}
+
+
+@pytest.mark.parametrize(("text", "lost"), [("Really?? Правда??", False), ("Wait?? what", False), ("???????? ?? ????", True), ("Ка????? вино", True), ("http://x.example/a??b", False)])
+def test_emphasis_is_no_lost_text(model, text: str, lost: bool) -> None:
+    assert mojibake.repair(text, model)[2] == lost
