@@ -94,10 +94,14 @@ SELECT trace_id, arg_min(token, struct_pack(owners := owners, token := token)) A
 def maker_of_request(spark: SparkSession, folder: str) -> DataFrame:
     """The maker that each request names: of several the one with the fewest cards."""
     post = I.postings(catalog(spark, folder), {"winery": "winery", "grape": "grape"})
+    return _named_makers(post, requests(spark, folder).select("trace_id", F.explode(T.tokens("ocr")).alias("token")))
+
+
+def _named_makers(post: DataFrame, seen: DataFrame) -> DataFrame:
+    """(trace_id, maker, owners) of the words `seen` (trace_id, token) by the makers and grapes of the postings."""
     makers = post.where("kind = 'winery'").groupBy("token").agg(F.count("*").alias("owners"))
     t = F.col("token")
     makers = makers.where((F.length(t) >= 4) & ~T.is_generic(t) & ~t.isin(*W.LATIN_GRAPES, *W.CLIPPED_GRAPES)).join(post.where("kind = 'grape'").select("token").distinct(), "token", "left_anti")
-    seen = requests(spark, folder).select("trace_id", F.explode(T.tokens("ocr")).alias("token"))
     found = join_even(seen, makers, "token").groupBy("trace_id").agg(F.min(F.struct("owners", "token")).alias("r"))
     return found.select("trace_id", F.col("r.token").alias("maker"), "r.owners")
 
@@ -167,19 +171,22 @@ def unique_title(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def house_names_recovered(spark: SparkSession, folder: str) -> DataFrame:
     """Misread name words of each request's maker: the clearly nearest name of that maker's own cards."""
-    post = I.postings(catalog(spark, folder), {"winery": "winery", "name": "name"})
-    last = requests(spark, folder).select("trace_id", F.explode(F.array_distinct(T.tokens("ocr"))).alias("word"))
-    maker = maker_of_request(spark, folder).select("trace_id", "maker")
+    post = cut(I.postings(catalog(spark, folder), {k: k for k in ("winery", "name", "grape")}))
+    last = cut(requests(spark, folder).select("trace_id", F.explode(F.array_distinct(T.tokens("ocr"))).alias("word")))
+    maker = _named_makers(post, last.withColumnRenamed("word", "token")).select("trace_id", "maker")
     made = post.where("kind = 'winery'").select(F.col("token").alias("maker"), "slug")
     names = post.where((F.col("kind") == "name") & (F.length("token") >= 4) & ~T.is_generic(F.col("token")) & ~F.col("token").isin(*W.LINE_FILLERS)).select(F.col("token").alias("title"), "slug")
     few = names.groupBy("title").agg(F.count("*").alias("df")).where("df <= 40").select("title")
-    titles = cut(made.join(names.join(few, "title"), "slug").select("maker", "title").distinct())
+    titles = made.join(names.join(few, "title"), "slug").select("maker", "title").distinct()
     known = names.select(F.col("title").alias("word")).distinct()
     words = cut(last.where((F.length("word") >= 4) & ~T.is_generic(F.col("word"))).join(known, "word", "left_anti").join(maker, "trace_id"))
-    pairs = fuzzy.near_pairs(words, titles, "word", "title", 0.70, 2)
-    met = words.join(pairs, "word").join(titles, ["maker", "title"]).groupBy("trace_id", "word").agg(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "title"))).alias("r"))
+    # a word is read once a maker, however many requests have it
+    pairs = fuzzy.near_pairs_within(words, titles, "maker", "word", "title", 0.70, 2)
+    met = pairs.groupBy("maker", "word").agg(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "title"))).alias("r"))
     best, second = -F.col("r")[0]["s"], F.coalesce(-F.get("r", F.lit(1))["s"], F.lit(0.0))
-    return met.where((best >= 0.75) & (best - second >= 0.05)).select("trace_id", "word", F.col("r")[0]["title"].alias("title"))
+    both = F.concat_ws(" ", "maker", "word").alias("both")
+    read = cut(met.where((best >= 0.75) & (best - second >= 0.05)).select(both, F.col("r")[0]["title"].alias("title")))
+    return join_even(words.select("trace_id", "word", both), read, "both").select("trace_id", "word", "title")
 
 
 _RARE = f"(SELECT token AS entry FROM {_NAMED} GROUP BY 1 HAVING count(*) <= 12 AND length(token) >= 5)"
