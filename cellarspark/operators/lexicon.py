@@ -51,7 +51,7 @@ def match_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     entries = cut(lexicon)
     asked = words.select("word").where("word is not null and word <> ''").distinct()
     w = F.col("word")
-    asked = asked.where(~T.is_generic(w) & ~L.brut_misread(w) & ~w.isin(*W.NOIR_GATED))
+    asked = cut(asked.where(~T.is_generic(w) & ~L.brut_misread(w) & ~w.isin(*W.NOIR_GATED)))
     short = asked.where(F.length(w) == 3).join(entries.where("alias and kind = 'grape'").withColumnRenamed("key", "word"), "word").select("word", F.lit(0).alias("o"), "canonical", "kind", F.lit(0.99).alias("score"))
     read = cut(asked.where(F.length(w) >= 4).select("word", F.posexplode(_forms(w)).alias("o", "f")).select("word", "o", "f.form", "f.script"))
     f = F.col("form")

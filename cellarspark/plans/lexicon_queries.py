@@ -218,18 +218,22 @@ def match_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     fusion with the reported score, leader and lead.  Requests without a candidate stay, with the reason."""
     cards = catalog(spark, folder)
     post, freq = I.postings(cards, {"name": "name"}), I.token_frequencies(cards, {"name": "name"})
-    last = cut(requests(spark, folder))
-    words = last.select("trace_id", F.explode(F.array_distinct(T.tokens("ocr"))).alias("word"))
-    meant = lexicon.match_words(words, catalog_lexicon(spark, folder)).select("word", "catalog")
-    asked = cut(join_even(words, meant, "word", "left").select("trace_id", F.coalesce("catalog", "word").alias("token"), F.col("catalog").isNotNull().alias("known")).distinct())
-    scored = I.rare_scores(asked, post, freq, "trace_id", "slug")
-    seen = last.select("trace_id", "winner_slug", F.coalesce("visual", F.lit(0.0)).alias("visual"))
-    reported = seen.where("winner_slug is not null").select("trace_id", F.col("winner_slug").alias("slug"), F.lit(0.0).alias("score"))
-    every = scored.select("trace_id", "slug", "score").unionByName(reported).groupBy("trace_id", "slug").agg(F.max("score").alias("score")).join(seen, "trace_id")
+    seen = requests(spark, folder, ("ocr", "winner_slug", "visual"))
+    last = cut(seen.select("trace_id", F.array_distinct(T.tokens("ocr")).alias("words"), "winner_slug", F.coalesce("visual", F.lit(0.0)).alias("visual")))
+    words = last.select("trace_id", F.explode("words").alias("word"))
+    distinct = cut(words.select("word").distinct())
+    meant = lexicon.match_words(distinct, catalog_lexicon(spark, folder)).select("word", "catalog")
+    read = distinct.join(meant, "word", "left").select("word", F.coalesce("catalog", "word").alias("token"), F.col("catalog").isNotNull().alias("known"))
+    rare = I.rare_tokens(freq)
+    # words that mean nothing and name no card tell nothing
+    told = cut(read.join(rare.select("token", F.lit(True).alias("rare")), "token", "left").where("known or rare").select("word", "known", F.when(F.col("rare"), F.col("token")).alias("token")))
+    asked = cut(join_even(words, told, "word").groupBy("trace_id").agg(F.max("known").alias("known"), F.collect_set("token").alias("tokens")))
+    scored = I.rare_scores(asked.select("trace_id", F.explode("tokens").alias("token")), post, freq, "trace_id", "slug")
+    reported = last.where("winner_slug is not null").select("trace_id", F.col("winner_slug").alias("slug"), F.lit(0.0).alias("score"))
+    every = scored.select("trace_id", "slug", "score").unionByName(reported).groupBy("trace_id", "slug").agg(F.max("score").alias("score")).join(last.drop("words"), "trace_id")
     fused = every.withColumn("fused", 0.75 * F.least(F.lit(1.0), F.col("score") / 10) + 0.25 * F.when(F.col("slug") == F.col("winner_slug"), F.col("visual")).otherwise(0.0))
     top = I.top_per(fused, "trace_id", [F.desc("fused"), F.asc("slug")], 2)
     led = top.groupBy("trace_id").agg(F.max_by("slug", -F.col("place")).alias("slug"), F.max("fused").alias("fused"), F.max("score").alias("score"), F.min(F.when(F.col("place") == 2, F.col("fused"))).alias("second"))
-    known = asked.groupBy("trace_id").agg(F.count_if("known").alias("known"))
-    out = last.select("trace_id").join(led, "trace_id", "left").join(known, "trace_id", "left")
-    reason = F.when(F.col("score") > 0, "rare word").when(F.col("slug").isNotNull(), "reported leader").when(F.coalesce("known", F.lit(0)) > 0, "common words only").otherwise("no known word")
+    out = last.select("trace_id").join(led, "trace_id", "left").join(asked.select("trace_id", "known"), "trace_id", "left")
+    reason = F.when(F.col("score") > 0, "rare word").when(F.col("slug").isNotNull(), "reported leader").when(F.coalesce("known", F.lit(False)), "common words only").otherwise("no known word")
     return out.select("trace_id", "slug", F.round("fused", 6).alias("fused"), F.round(F.col("fused") - F.coalesce("second", F.lit(0.0)), 6).alias("lead"), reason.alias("reason"))
