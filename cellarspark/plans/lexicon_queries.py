@@ -120,16 +120,36 @@ def compatible_words(spark: SparkSession, folder: str) -> DataFrame:
     first = t.select("cache_id", F.explode(F.array_distinct(T.tokens("query"))).alias("token"))
     second = t.select("cache_id", F.explode(F.array_distinct(T.tokens("name"))).alias("token")).distinct().join(first, ["cache_id", "token"], "left_anti")
     owners = I.postings(catalog(spark, folder), {k: k for k in ("name", "winery", "grape")}).select("token", "slug").distinct()
-    met = first.distinct().join(owners, "token")
-    size = met.groupBy("cache_id").agg(F.count_distinct("token").alias("n"))
-    counts = met.groupBy("cache_id", "slug").agg(F.count("*").alias("c"))
-    best = counts.groupBy("cache_id").agg(F.max("c").alias("best"))
-    anchor = counts.join(size, "cache_id").join(best, "cache_id").where("c = n or best < n").select("cache_id", "slug")
-    fits = second.join(owners, "token").join(anchor, ["cache_id", "slug"], "left_semi").select("cache_id", "token").distinct()
-    free = second.join(anchor.select("cache_id").distinct(), "cache_id", "left_anti").select("cache_id", "token")
+    owners, first = cut(owners), cut(first)
+    # the owned words of each ask; asks of the same words are one
+    asked = cut(first.join(owners.select("token").distinct(), "token").groupBy("cache_id").agg(F.array_sort(F.collect_set("token")).alias("words")))
+    second = cut(second.join(asked, "cache_id", "left"))
+    groups = asked.select("words").distinct()
+    whole = cut(_together(groups.select("words", F.col("words").alias("all")), owners))
+    many = second.where("words is not null").select("words", "token").distinct().join(whole.withColumn("whole", F.lit(True)), "words", "left")
+    # a card has all of the ask's words and the other one, or, where none has all, one of them and the other
+    needed = many.where("whole").select("words", "token", F.array_distinct(F.concat("words", F.array("token"))).alias("all"))
+    any_of = many.where("whole is null").select("words", "token", F.explode("words").alias("word")).select("words", "token", F.array("word", "token").alias("all"))
+    sets = needed.unionByName(any_of)
+    held = _together(sets.select("all").distinct().select(F.col("all").alias("words"), "all"), owners).withColumnRenamed("words", "all")
+    fits = second.join(sets.join(held, "all", "left_semi").select("words", "token").distinct(), ["words", "token"]).select("cache_id", "token")
+    free = second.where("words is null").select("cache_id", "token")
     return fits.unionByName(free)
 
 
+def _together(sets: DataFrame, owners: DataFrame) -> DataFrame:
+    """The distinct `words` of those `sets` (words, all) all of whose words `all` one card owns, by `owners` (token, slug).
+
+    A set meets the cards of its rarest word only, and leaves its task only where it is found.
+    """
+    df = owners.groupBy("token").agg(F.count("*").alias("df"))
+    word = sets.select("words", "all", F.explode("all").alias("token")).join(df, "token").groupBy("words", "all").agg(F.min(F.struct("df", "token")).alias("r"), F.count("*").alias("n"))
+    rarest = word.where(F.col("n") == F.size("all")).select("words", "all", F.col("r.token").alias("token"))
+    cards = owners.groupBy("slug").agg(F.collect_list("token").alias("own"))
+    kept = cards.select("own", F.explode("own").alias("token")).join(rarest.select("token").distinct(), "token", "left_semi").distinct()
+    return rarest.join(kept, "token").where(F.size(F.array_except("all", "own")) == 0).select("words").distinct()
+
+
 _YEARS = f"list_distinct(list_filter(string_split(translate({S.normalize('ocr')}, 'ОOI', '001'), ' '), lambda t: regexp_full_match(t, '(19|20)[0-9]{{2}}')))"
 
 
