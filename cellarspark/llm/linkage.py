@@ -1,9 +1,12 @@
 """P2: match the pages of one table to the records of another that shares no key with it.
 
 Both sides become sets of terms over all attributes (label words, their one-letter deletions in Latin and in the own script,
-maker, grape).  The records form an inverted index in blocks; every page meets every block, and its BM25 scores
-are summed along the postings of all its terms.  Only the two best records a block leave it, so the two best of all records
-are exact however many records own a term.  The best record is kept if the page is also near the record's own best
+maker, grape), and records are ranked by the BM25 weight of the terms they share with a page.  Rare terms meet in buckets by
+their key, so pages and records are never paired there unless they share one.  Of the few terms that many records own (words of
+a line, makers, grapes) a page's two best records are searched among the records of each of its frequent label words, by
+intersections of their owners and a bound on what is left.  Records met either way get their whole score, so the two best
+are exact however many records own a term.
+The best record is kept if the page is also near the record's own best
 (mutual-nearest test) and if the confidence is high enough: a logistic curve of the score gap and of the parts of the label
 that the page's name and the whole page cover, calibrated on a bounded sample labelled by an exact comparison of words.
 """
@@ -11,6 +14,7 @@ that the page's name and the whole page cover, calibrated on a bounded sample la
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,8 +42,16 @@ K1 = 1.2
 DELETION = 0.35
 #: the page's score with its best record, as a part of the best score that record has with any page
 MUTUAL = 0.15
-#: records in one block of the index, and pages that meet a block at once
-RECORD_BLOCK, PAGE_BLOCK = 50_000, 4_000
+#: records whose rare terms share a bucket, and pages that meet a bucket at once
+RECORD_BLOCK, PAGE_BLOCK = 4_000, 4_000
+#: owners from which a label word, maker or grape is frequent, and how many may be (they are sent to every worker)
+FREQUENT, MOST_FREQUENT = 32, 50_000
+#: parts of the pages that search the records of a frequent word
+PARTS_OF_WORD = 2
+#: weights are whole numbers of this part, so that equal sums are equal in any order
+UNIT = 1 / (1 << 20)
+#: pairs of pages and records sent on at once
+PAIRS = 500_000
 #: postings of a block from which a term's weights are kept as a vector over the block
 DENSE = 2_000
 #: a pair is a match from this confidence on
@@ -61,13 +73,18 @@ _SLUG = re.compile(r"/([a-z]+(?:-[a-z]+){1,7})(?:-\d+)?/?$")
 def colour_of(text: str | None) -> str:
     """The one colour that a text names, '' for none or several."""
     low = (text or "").lower()
-    found = {k for k, stems in COLOURS.items() if any(re.search(rf"(?<![^\W\d_]){s}", low) for s in stems)}
+    found = {k for k, stems in COLOURS.items() if any(s in low and re.search(rf"(?<![^\W\d_]){s}", low) for s in stems)}
     return found.pop() if len(found) == 1 else ""
 
 
+@lru_cache(maxsize=50_000)
+def _latin(word: str) -> str | None:
+    return None if word.lower() in NOISE else romanise(word)
+
+
 def words_of(text: str | None) -> list[str]:
     """Words in Latin spelling, without shop words."""
-    return [romanise(w) for w in _WORD.findall(text or "") if w.lower() not in NOISE]
+    return [x for w in _WORD.findall(text or "") if (x := _latin(w)) is not None]
 
 
 @lru_cache(maxsize=50_000)
@@ -86,6 +103,18 @@ def term_key(term: str) -> int:
     return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+@lru_cache(maxsize=50_000)
+def _keys(kind: str, word: str) -> tuple[int, ...]:
+    """The term keys of a page's word: l its spelling and deletions, c its deletions in its own script, any other kind itself."""
+    if kind == "l":
+        return tuple(map(term_key, [f"l:{word}", *(f"d:{k}" for k in (deletions(word) if len(word) >= 5 else ()))]))
+    return tuple(map(term_key, own_script([word]) if kind == "c" else [f"{kind}:{word}"]))
+
+
+def keys_of(kind: str, words: list[str]) -> list[int]:
+    return [k for w in words for k in _keys(kind, w)]
+
+
 def slug_label(slug: str | None) -> list[str]:
     """The label's words in an address: without a copy's number and a colour at the end."""
     parts = [p for p in (slug or "").lower().split("-") if p]
@@ -112,6 +141,8 @@ def headings(text: str, own: frozenset[str]) -> list[str]:
     in the page's own fields (`own`, their letter triples)."""
     out = []
     for line in text.split("\n"):
+        if not line.rstrip()[-1:].isalnum():
+            continue
         piece = _STEP.split(" ".join(line.split()))[-1]
         if piece[:1].isupper() and _TITLE.fullmatch(piece) and piece not in out:
             t = boilerplate.triples(piece)
@@ -120,20 +151,19 @@ def headings(text: str, own: frozenset[str]) -> list[str]:
     return out
 
 
-def page_terms(name: str, winery: str, colour: str, grape: str, address: str, text: str) -> tuple[list[str], int, dict]:
-    """(all terms, how many of them, the first ones, are the name's, evidence for the calibration) of a page of restored, unified fields."""
+def page_terms(name: str, winery: str, colour: str, grape: str, address: str, text: str) -> tuple[list[int], int, dict]:
+    """(keys of all terms, how many of them, the first ones, are the name's, evidence for the calibration) of a page of restored, unified fields."""
     m = _SLUG.search(address or "")
     path = slug_label(m[1]) if m else []
     words = words_of(name)
     titles = headings(text, boilerplate.triples(" ".join([name, *path])))
     title = [romanise(w) for t in titles for w in t.split()]
     label = list(dict.fromkeys([*words, *title, *path]))
-    spelled = lambda ws: [f"l:{w}" for w in ws] + [f"d:{k}" for w in ws if len(w) >= 5 for k in deletions(w)]
-    said = spelled(words) + own_script([w for w in _WORD.findall(name) if w.lower() not in NOISE])
+    said = keys_of("l", words) + keys_of("c", [w for w in _WORD.findall(name) if w.lower() not in NOISE])
     maker = _MAKER.search(text)
-    every = said + spelled(label) + own_script([w for t in titles for w in t.split()])
-    every += [f"m:{w}" for w in dict.fromkeys([*words, *words_of(winery), *words_of(maker[1] if maker else "")])]
-    every += [f"g:{w}" for w in dict.fromkeys([*words, *words_of(grape)]) if len(w) > 3]
+    every = said + keys_of("l", label) + keys_of("c", [w for t in titles for w in t.split()])
+    every += keys_of("m", [*words, *words_of(winery), *words_of(maker[1] if maker else "")])
+    every += keys_of("g", [w for w in [*words, *words_of(grape)] if len(w) > 3])
     kind = _KIND.search(text)
     told = colour_of(kind[1]) if kind else ""
     return list(dict.fromkeys(every)), len(dict.fromkeys(said)), {"words": " ".join(words), "title": " ".join(romanise(w) for w in titles[0].split()) if titles else "", "colour": told or colour_of(name) or colour_of(colour)}
@@ -207,36 +237,193 @@ def records(catalog: DataFrame) -> DataFrame:
     return first.mapInArrow(build, "row_idx long, label string, maker string, colour string, terms array<long>, kinds array<string>").where("label <> ''")
 
 
-def index_blocks(postings: DataFrame, total: int) -> DataFrame:
-    """(block, record, keys, starts, rows, weights, labelled, own) of distinct `postings` (record, term, kind): the inverted
-    index in blocks of about RECORD_BLOCK records, packed as arrays.  A term weighs its BM25 idf over all records (term
-    frequency one)."""
-    blocks = max(1, -(-total // RECORD_BLOCK))
-    df = postings.groupBy("term", "kind").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.when(F.col("kind").isin("d", "c"), DELETION).otherwise(1.0)
-    weighted = postings.join(df, ["term", "kind"]).select("record", "term", "kind", idf.cast("float").alias("w"), F.pmod(F.xxhash64("record"), F.lit(blocks)).cast("int").alias("block"))
+def weight(df: np.ndarray, total: int, lesser: np.ndarray | bool) -> np.ndarray:
+    """The BM25 idf of terms with `df` of all records (term frequency one) in UNITs; deletions (`lesser`) weigh less."""
+    idf = np.log(1 + (float(total) - df + 0.5) / (df + 0.5)) * np.where(lesser, DELETION, 1.0)
+    return np.maximum(1, np.rint(idf / UNIT)).astype(np.int64)
+
 
-    def pack(g):  # noqa: ANN001, ANN202
-        import pandas as pd
+def frequent_terms(owned: DataFrame, total: int) -> dict[int, tuple[int, bool]]:
+    """term: (weight, whether it is a label word) of the frequent ones among distinct (record, term, kind)."""
+    from_ = max(FREQUENT, owned.count() // MOST_FREQUENT)
+    rows = owned.groupBy("term", "kind").agg(F.count("*").alias("df")).where(F.col("df") > from_).collect()
+    return {r.term: (int(weight(np.array([r.df]), total, False)[0]), r.kind == "l") for r in rows}
 
-        record, row = np.unique(g["record"].to_numpy(np.int64), return_inverse=True)
-        g = g.assign(row=row).sort_values(["term", "row"], kind="stable")
-        keys, starts = np.unique(g["term"].to_numpy(np.int64), return_index=True)
-        kinds = g["kind"].to_numpy()[starts]
-        # what a label weighs, spelled out
-        own = np.bincount(g["row"], weights=np.where(g["kind"] == "l", g["w"], 0.0), minlength=len(record))
-        parts = (record, keys, np.append(starts, len(g)).astype(np.int64), g["row"].to_numpy(np.int32), g["w"].to_numpy(np.float32)[starts], np.isin(kinds, ("l", "d", "c")), own)
-        return pd.DataFrame([[int(g["block"].iloc[0]), *(p.tobytes() for p in parts)]], columns=["block", *PARTS])
 
-    return weighted.groupBy("block").applyInPandas(pack, "block int, " + ", ".join(f"{p} binary" for p in PARTS))
+def _flat(column: pa.Array, part: slice) -> tuple[np.ndarray, np.ndarray]:
+    """(values, their rows) of a list column's part."""
+    some = column.slice(part.start, part.stop - part.start)
+    sizes = np.diff(some.offsets.to_numpy())
+    return some.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
 
 
-#: arrays of a block and their types
+#: packed (bucket, side, keys, owners, marks): terms, who has them, and the kind of a record's or whether a page's name has it
+BUCKETS = pa.schema([("bucket", pa.int32()), ("side", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary()), ("marks", pa.binary())])
+PAIR = pa.schema([("page", pa.int64()), ("record", pa.int64()), ("sum", pa.int64()), ("label", pa.int64()), ("named", pa.int64())])
+PAIR_SQL = "page long, record long, sum long, label long, named long"
+
+
+def _dealt(keys: np.ndarray, owners: np.ndarray, marks: np.ndarray, buckets: int, side: int) -> pa.RecordBatch:
+    bucket = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    which, starts = np.unique(bucket[order], return_index=True)
+    cuts = [order[i:j] for i, j in zip(starts, [*starts[1:], len(order)])]
+    packed = [pa.array([np.ascontiguousarray(x[c]).tobytes() for c in cuts], pa.binary()) for x in (keys, owners, marks)]
+    return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(np.full(len(which), side), pa.int32()), *packed], schema=BUCKETS)
+
+
+def rare_pairs(asked: DataFrame, cards: DataFrame, often: dict[int, tuple[int, bool]], total: int) -> DataFrame:
+    """PAIR rows of pages and the records with which they share a term that is not in `often`; each pair as often as it shares
+    buckets, with the weights of the terms in it.  `asked` has (page, keys, said), `cards` (record, terms, kinds)."""
+    buckets = max(1, -(-total // RECORD_BLOCK))
+    known = np.array(sorted(often), dtype=np.int64)
+
+    def records_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, row = _flat(b.column("terms"), slice(0, b.num_rows))
+            kinds, _ = _flat(b.column("kinds"), slice(0, b.num_rows))
+            rare = ~np.isin(keys, known)
+            mark = np.array([ord(k) for k in kinds], dtype=np.uint8)
+            yield _dealt(keys[rare], b.column("record").to_numpy()[row[rare]], mark[rare], buckets, 0)
+
+    def pages_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, PAGE_BLOCK):
+                part = slice(i, min(b.num_rows, i + PAGE_BLOCK))
+                keys, row = _flat(b.column("keys"), part)
+                nth = np.arange(len(keys)) - np.searchsorted(row, row)
+                yield _dealt(keys, b.column("page").to_numpy()[part][row], (nth < b.column("said").to_numpy()[part][row]).astype(np.uint8), buckets, 1)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, index = None, [], None
+        read = lambda b, i: [np.frombuffer(b.column(c)[i].as_buffer(), dtype=t) for c, t in (("keys", np.int64), ("owners", np.int64), ("marks", np.uint8))]
+        for b in batches:
+            for i in range(b.num_rows):
+                if b.column("bucket")[i].as_py() != number:
+                    number, held, index = b.column("bucket")[i].as_py(), [], None
+                if b.column("side")[i].as_py() == 0:
+                    held.append([x.copy() for x in read(b, i)])
+                elif held or index is not None:
+                    if index is None:
+                        index, held = _rare_index(*map(np.concatenate, zip(*held)), total), []
+                    yield from _met(*index, *read(b, i))
+
+    shape = "bucket int, side int, keys binary, owners binary, marks binary"
+    both = cards.select("record", "terms", "kinds").mapInArrow(records_, shape).unionByName(asked.select("page", "keys", "said").mapInArrow(pages_, shape))
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "side").mapInArrow(meet, PAIR_SQL)
+
+
+def _rare_index(keys: np.ndarray, owners: np.ndarray, kinds: np.ndarray, total: int) -> tuple[np.ndarray, ...]:
+    """(terms, starts, owners, weights, labelled) of a bucket's postings, each once."""
+    order = np.lexsort((owners, keys))
+    keys, owners, kinds = keys[order], owners[order], kinds[order]
+    first = np.append(True, (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1]))[: len(keys)]
+    keys, owners, kinds = keys[first], owners[first], kinds[first]
+    terms, starts = np.unique(keys, return_index=True)
+    kind = kinds[starts]
+    starts = np.append(starts, len(keys))
+    lesser = np.isin(kind, [ord(k) for k in "dc"])
+    return terms, starts, owners, weight(np.diff(starts), total, lesser), lesser | (kind == ord("l"))
+
+
+def _met(terms: np.ndarray, starts: np.ndarray, owners: np.ndarray, weights: np.ndarray, labelled: np.ndarray, keys: np.ndarray, pages: np.ndarray, named: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not len(terms):
+        return
+    at = np.minimum(np.searchsorted(terms, keys), len(terms) - 1)
+    hit = np.flatnonzero(terms[at] == keys)
+    at = at[hit]
+    n = starts[at + 1] - starts[at]
+    ends = np.cumsum(n)
+    i = 0
+    while i < len(hit):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+        size = n[i:j]
+        row = np.repeat(starts[at[i:j]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        w = np.repeat(weights[at[i:j]], size)
+        label = np.where(np.repeat(labelled[at[i:j]], size), w, 0)
+        said = np.where(np.repeat(named[hit[i:j]] > 0, size), label, 0)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.repeat(pages[hit[i:j]], size), owners[row], w, label, said)], schema=PAIR)
+        i = j
+
+
+def best_owners(owners: list[tuple[int, int]], rest: int, sure: int) -> list[tuple[int, int]]:
+    """(weight, position) of the two heaviest positions; equal weights go to the smaller one.
+
+    `owners` has (weight, positions as bits) of terms; a position weighs `sure` and the terms that have it, `rest` are all
+    positions as bits.  A branch takes a term or leaves it; it ends where no position is left or where all terms left
+    could not reach the second best.
+    """
+    owners = sorted((x for x in owners if x[1]), key=lambda x: -x[0])
+    left = [0] * (len(owners) + 1)
+    for i in range(len(owners) - 1, -1, -1):
+        left[i] = left[i + 1] + owners[i][0]
+    best: list[tuple[int, int]] = []
+    stack = [(0, rest, sure)]
+    while stack:
+        i, now, w = stack.pop()
+        while i < len(owners) and not (len(best) == 2 and w + left[i] < -best[1][0]):
+            both = now & owners[i][1]
+            if both:
+                # with the term first; without it later
+                stack.append((i + 1, now, w))
+                now, w = both, w + owners[i][0]
+            i += 1
+        if i < len(owners) or len(best) == 2 and w < -best[1][0]:
+            continue
+        for _ in range(2):
+            if not now:
+                break
+            low = now & -now
+            at = low.bit_length() - 1
+            if all(at != y for _, y in best):
+                best = sorted([*best, (-w, at)])[:2]
+            now ^= low
+    return [(-w, at) for w, at in best]
+
+
+def frequent_pairs(asked: DataFrame, owned: DataFrame, often: dict[int, tuple[int, bool]]) -> DataFrame:
+    """PAIR rows, with sums of 0, of each page and the two records that weigh most by terms of `often`, at least one of them a label word.
+    `asked` has (page, often, heads), `owned` (record, often, heads); heads are the label words of the frequent terms."""
+    word = F.explode("heads").alias("word")
+    own = owned.select("often", word, F.col("record").alias("id")).select("word", F.explode(F.sequence(F.lit(0), F.lit(PARTS_OF_WORD - 1))).alias("part"), F.lit(0).alias("side"), "id", "often")
+    ask = asked.select("often", word, F.col("page").alias("id")).select("word", F.pmod(F.xxhash64("id"), F.lit(PARTS_OF_WORD)).cast("int").alias("part"), F.lit(1).alias("side"), "id", "often")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, records, at, bits = None, array("q"), {}, None
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for word, part, side, number, terms in zip(*(b.column(c).to_pylist() for c in ("word", "part", "side", "id", "often"))):
+                if group != (word, part):
+                    group, records, at, bits = (word, part), array("q"), {}, None
+                if side == 0:
+                    for t in terms:
+                        at.setdefault(t, array("q")).append(len(records))
+                    records.append(number)
+                elif records:
+                    if bits is None:
+                        bits, at = {t: _bits(x, len(records)) for t, x in at.items()}, {}
+                    others = [(often[t][0], bits[t]) for t in terms if t != word and t in bits]
+                    out += [(number, records[y]) for _, y in best_owners(others, bits[word], often[word][0])]
+            zero = pa.array(np.zeros(len(out), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), zero, zero, zero], schema=PAIR)
+
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own.unionByName(ask).repartition(parts, "word", "part").sortWithinPartitions("word", "part", "side", "id").mapInArrow(search, PAIR_SQL)
+
+
+def _bits(positions: array, size: int) -> int:
+    flags = np.zeros(size, dtype=np.uint8)
+    flags[np.frombuffer(positions, dtype=np.int64)] = 1
+    return int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little")
+
+
+#: arrays of an index that is scanned whole, and their types
 PARTS = {"record": np.int64, "keys": np.int64, "starts": np.int64, "rows": np.int32, "weights": np.float32, "labelled": np.bool_, "own": np.float64}
 
 
 class Block:
-    """One block of the index with its frequent terms as vectors."""
+    """A whole index that is scanned for one page at a time, its frequent terms as vectors: what `link` is tested against."""
 
     def __init__(self, parts: dict[str, np.ndarray]) -> None:
         self.parts = parts
@@ -298,54 +485,49 @@ def link(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     empty catalog, give no row.  Equal scores go to the smaller record key, equal colours to the smaller row_idx.  Repeated
     pages give repeated results.
     """
+    # copies and colours of a label are one record with the terms of all of them
+    cards = cut(records(catalog).withColumn("record", F.xxhash64("label", "maker")))
+    few = F.filter(F.arrays_zip("terms", "kinds"), lambda t: t["kinds"].isin("l", "m", "g"))
+    owned = cut(cards.select("record", F.explode(few).alias("t")).select("record", F.col("t.terms").alias("term"), F.col("t.kinds").alias("kind")).distinct())
+    total = owned.select("record").distinct().count()
+    often = frequent_terms(owned, total)
     counts = mojibake.fit_bigrams(pages, ["name", "text"])
     chars = lookalike.character_counts(pages, "name")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, norm = mojibake.Bigrams(counts), lookalike.Normaliser(chars)
-        schema = pa.schema([("cache_id", pa.int64()), ("every", pa.list_(pa.int64())), ("said", pa.int32()), ("words", pa.string()), ("title", pa.string()), ("colour", pa.string())])
+        schema = pa.schema([("cache_id", pa.int64()), ("keys", pa.list_(pa.int64())), ("said", pa.int32()), ("often", pa.list_(pa.int64())), ("often_said", pa.list_(pa.int64())), ("heads", pa.list_(pa.int64())), ("words", pa.string()), ("title", pa.string()), ("colour", pa.string())])
         for b in batches:
             out = []
             for r in b.to_pylist():
                 name = lookalike.normalise(mojibake.repair(r["name"], model)[0], norm)[0] or ""
                 text = mojibake.repair(r["text"], model)[0] or ""
-                every, said, e = page_terms(name, r["winery"] or "", r["color"] or "", r["grape"] or "", r["source"] or "", text)
-                out.append({"cache_id": r["cache_id"], "every": [term_key(t) for t in every], "said": said, **e})
+                keys, said, e = page_terms(name, r["winery"] or "", r["color"] or "", r["grape"] or "", r["source"] or "", text)
+                known = [k in often for k in keys]
+                every_often = [k for k, o in zip(keys, known) if o]
+                split = {"keys": [k for k, o in zip(keys, known) if not o], "said": said - sum(known[:said]), "often": every_often, "often_said": every_often[: sum(known[:said])], "heads": [k for k in every_often if often[k][1]]}
+                out.append({"cache_id": r["cache_id"], **split, **e})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     source = pages.select("cache_id", "name", "winery", "color", "grape", "source", "text")
-    asked = cut(source.mapInArrow(build, "cache_id long, every array<long>, said int, words string, title string, colour string")).withColumn("page", F.monotonically_increasing_id())
-
-    cards = records(catalog).withColumn("record", F.xxhash64("label", "maker"))
-    # copies and colours of a label are one record with the terms of all of them
-    cards = cut(cards)
-    postings = cards.select("record", F.explode(F.arrays_zip("terms", "kinds")).alias("t")).select("record", F.col("t.terms").alias("term"), F.col("t.kinds").alias("kind")).distinct()
-    total = cards.select("record").distinct().count()
-    index = cut(index_blocks(postings, total))
-
-    # every block meets every bundle of pages, in a Cartesian product without shuffle
-    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, PAGE_BLOCK):
-                part = b.slice(i, PAGE_BLOCK)
-                kinds = (pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(c).to_pylist()], k) for c, k in enumerate(kinds)], names=["page", "every", "said"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, Block] | None = None
-        for b in batches:
-            for i in range(b.num_rows):
-                number = b.column("block")[i].as_py()
-                if last is None or last[0] != number:
-                    last = (number, Block({p: np.frombuffer(b.column(p)[i].as_buffer(), dtype=kind) for p, kind in PARTS.items()}))
-                out: list[tuple] = []
-                for page, every, said in zip(b.column("page")[i].as_py(), b.column("every")[i].values, b.column("said")[i].as_py()):
-                    out += [(page, *x) for x in last[1].best_two(every.values.to_numpy(zero_copy_only=False), said)]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], names=["page", "record", "score", "cover", "told"])
-
-    bundles = asked.select("page", "every", "said").mapInArrow(bundle, "page array<long>, every array<array<long>>, said array<int>")
-    met = index.crossJoin(bundles).mapInArrow(meet, "page long, record long, score double, cover double, told double")
+    asked = cut(source.mapInArrow(build, "cache_id long, keys array<long>, said int, often array<long>, often_said array<long>, heads array<long>, words string, title string, colour string")).withColumn("page", F.monotonically_increasing_id())
+
+    idf = F.log(1 + (F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    label = owned.where("kind = 'l'")
+    heavy = label.join(label.groupBy("term").agg(F.count("*").alias("df")), "term").groupBy("record").agg(F.sum(F.greatest(F.lit(1), F.rint(idf / UNIT).cast("long"))).alias("whole"))
+    known = asked.sparkSession.createDataFrame([(t, w, w if x else 0) for t, (w, x) in often.items()], "term long, w long, label long")
+    of_often = owned.join(F.broadcast(known), "term").groupBy("record").agg(F.collect_list(F.struct("term", "w", "label")).alias("terms"))
+    held = cut(heavy.join(of_often, "record", "left"))
+
+    near_pages = rare_pairs(asked, cards, often, total)
+    if often:
+        near_pages = near_pages.unionByName(frequent_pairs(asked, held.where("terms is not null").select("record", F.col("terms.term").alias("often"), F.filter("terms", lambda t: t["label"] > 0)["term"].alias("heads")), often))
+    sums = near_pages.groupBy("page", "record").agg(*[F.sum(c).alias(c) for c in ("sum", "label", "named")])
+    whole = sums.join(held, "record").join(asked.select("page", "often", "often_said"), "page")
+    shared = lambda terms, c: F.aggregate(F.filter(F.coalesce("terms", F.expr("cast(array() as array<struct<term:long,w:long,label:long>>)")), lambda t: F.array_contains(terms, t["term"])), F.lit(0).cast("long"), lambda x, t: x + t[c])
+    met = whole.select("page", "record", "whole", *[(F.col(a) + shared(t, c)).alias(a) for a, t, c in (("sum", "often", "w"), ("label", "often", "label"), ("named", "often_said", "label"))]).where("label > 0")
+    part = lambda c: F.least(F.lit(1.0), F.col(c) / F.col("whole"))
+    met = met.select("page", "record", (F.col("sum") * UNIT).alias("score"), part("named").alias("cover"), part("label").alias("told"))
 
     order = Window.partitionBy("page").orderBy(F.desc("score"), "record")
     two = met.withColumn("at", F.row_number().over(order)).where("at <= 2")
@@ -356,7 +538,7 @@ def link(pages: DataFrame, catalog: DataFrame) -> DataFrame:
     # the cards of one label by colour: a handful, the smallest row of each
     of_label = cards.groupBy("label", "maker", "colour").agg(F.min("row_idx").alias("row_idx")).groupBy("label", "maker").agg(F.sort_array(F.collect_list(F.struct("row_idx", "colour"))).alias("cards"))
     of_record = of_label.withColumn("record", F.xxhash64("label", "maker")).drop("maker").join(peak, "record")
-    pairs = top.join(of_record, "record").join(asked.drop("every", "said"), "page").withColumn("mutual", F.col("score") >= MUTUAL * F.col("peak"))
+    pairs = top.join(of_record, "record").join(asked.drop("keys", "said", "often", "often_said", "heads"), "page").withColumn("mutual", F.col("score") >= MUTUAL * F.col("peak"))
     fits = F.filter("cards", lambda c: (F.col("colour") == "") | (c["colour"] == "") | (c["colour"] == F.col("colour")))
     same = F.filter("fits", lambda c: c["colour"] == F.col("colour"))
     pairs = pairs.withColumn("fits", fits).withColumn("card", F.when(F.size(same) > 0, same[0]).when(F.size("fits") > 0, F.col("fits")[0]))

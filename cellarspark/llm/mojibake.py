@@ -66,6 +66,16 @@ _BACK = {t: _byte_map(t) for t in {*READ_AS, *SINGLE_READ_AS}}
 _HIGH = {t: re.compile("[" + "".join(map(re.escape, m)) + "]{2,}") for t, m in _BACK.items()}
 #: leads of well-formed two-, three- and four-byte sequences, and what may follow
 _AUTOMATON = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2})+")
+
+
+def _shown_sequence(back: dict[str, int]) -> re.Pattern:
+    """Finds a well-formed sequence as the characters by which a table shows its bytes."""
+    of = lambda a, b: "[" + "".join(re.escape(c) for c, x in back.items() if a <= x <= b) + "]"
+    shapes = [((0xC2, 0xDF), (0x80, 0xBF)), ((0xE0, 0xE0), (0xA0, 0xBF), (0x80, 0xBF)), ((0xED, 0xED), (0x80, 0x9F), (0x80, 0xBF)), ((0xE1, 0xEC), (0x80, 0xBF), (0x80, 0xBF)), ((0xEE, 0xEF), (0x80, 0xBF), (0x80, 0xBF)), ((0xF0, 0xF0), (0x90, 0xBF), (0x80, 0xBF), (0x80, 0xBF))]
+    return re.compile("|".join("".join(of(*x) for x in s) for s in shapes if all(of(*x) != "[]" for x in s)))
+
+
+_SHOWN = {t: _shown_sequence(_BACK[t]) for t in READ_AS}
 #: continuation characters that also follow a letter in ordinary writing
 _SOFT = set("»ё–—…’‘“”„•№\xa0" + RU.upper())
 _ORDINARY = set(ALPHABET + ALPHABET.upper() + "0123456789" + PLAIN_MARKS)
@@ -75,10 +85,17 @@ _LOST = re.compile(r"�|\?{2,}|(?<=[^\W\d_])\?(?=[^\W\d_])")
 _EMPHASIS = re.compile(r"(?<=[^\W\d_]{3})\?{2,3}(?=\s|$)")
 _URLISH = re.compile(r"\S*(?:://|www\.)\S*")
 #: something that clean text of the three languages does not show: foreign characters, inverted capitals, runs of accents
-_SUSPECT = re.compile(
-    "[^" + re.escape("".join(sorted(_ORDINARY))) + " ​-‏⁠﻿̀-ͯ    　­！-～Ͱ-Ͽ\U0001d400-\U0001d7ff]"
-    "|[а-яё][А-ЯЁ]|[А-ЯЁ]{3}|[à-öø-ÿÀ-ÖØ-ß]{2}|[─-╿]|[РС–—ÐÑГВÃÂ├┬╨╤][^\\w\\s\\d]|[–—][А-Я][–—]"
-)
+_SUSPECT = [
+    re.compile(x)
+    for x in (
+        "[^" + re.escape("".join(sorted(_ORDINARY))) + " ​-‏⁠﻿̀-ͯ    　­！-～Ͱ-Ͽ\U0001d400-\U0001d7ff]",
+        "[А-ЯЁ](?:(?<=[а-яё].)|[А-ЯЁ]{2})",
+        "[à-öø-ÿÀ-ÖØ-ß]{2}",
+        "[─-╿]",
+        "[РС–—ÐÑГВÃÂ├┬╨╤][^\\w\\s\\d]",
+        "[–—][А-Я][–—]",
+    )
+]
 _NOT_ASCII = re.compile("[^\\x00-\\x7f]")
 _SINGLE = re.compile("[^\\x00-\\x7f]{2}")
 _C1 = re.compile("[\\x80-\\x84\\x86-\\x9f]")
@@ -149,7 +166,7 @@ def _decode_spans(text: str, sure: bool, first: str | None = None) -> tuple[str,
     best, best_n, best_table = text, 0, None
     high = len(_NOT_ASCII.findall(text))
     for table in ([first] if first else []) + [t for t in READ_AS if t != first]:
-        if not _HIGH[table].search(text):
+        if not _SHOWN[table].search(text):
             continue
         n = shown_n = 0
         as_bytes = _AS_BYTES[table]
@@ -253,17 +270,21 @@ def _single_byte(line: str, model: Bigrams, first: tuple[str, str] | None, margi
     return "".join([*out, line[at:]]), pair
 
 
+def _suspect(text: str) -> bool:
+    return any(p.search(text) for p in _SUSPECT)
+
+
 def repair(text: str | None, model: Bigrams | None) -> tuple[str | None, bool, bool]:
     """(restored text, was any part garbled, was anything lost for good). None and '' are clean."""
     if not text:
         return text, False, False
-    lost = bool(_LOST.search(text) and _LOST.search(_EMPHASIS.sub("", _URLISH.sub("", text))))
-    if not lost and not _SUSPECT.search(text):
+    lost = bool(("?" in text or "\ufffd" in text) and _LOST.search(text) and _LOST.search(_EMPHASIS.sub("", _URLISH.sub("", text))))
+    if not lost and not _suspect(text):
         return text, False, False
     garbled, pair, table, left = lost, None, None, []
     lines = text.split("\n")
     for k, line in enumerate(lines):
-        if not _SUSPECT.search(line) and not (garbled and _SINGLE.search(line)):
+        if not _suspect(line) and not (garbled and _SINGLE.search(line)):
             continue
         n_all, shown = 0, line
         for _ in range(4):
@@ -273,7 +294,7 @@ def repair(text: str | None, model: Bigrams | None) -> tuple[str | None, bool, b
             table = used
             n_all += n
         garbled |= n_all > 0
-        if model is not None and 5 * n_all < len(_LETTERS.findall(shown)) and _SUSPECT.search(shown):
+        if model is not None and 5 * n_all < len(_LETTERS.findall(shown)) and _suspect(shown):
             other, hit = _single_byte(shown, model, pair)
             if hit:
                 line, pair, garbled = other, hit, True
