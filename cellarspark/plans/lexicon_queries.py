@@ -107,7 +107,7 @@ def _named_makers(post: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 _OWNERS = f"(SELECT DISTINCT token, slug FROM (SELECT * FROM {_NAMED} UNION ALL SELECT * FROM {_MADE} UNION ALL SELECT * FROM {_HELD}))"
-_ASKS = f"(SELECT cache_id, unnest(list_distinct({S.tokens('query')})) AS token, 'a' AS side FROM external_cache WHERE cache_id % 20 = 0 UNION ALL SELECT cache_id, unnest(list_distinct({S.tokens('name')})), 'b' FROM external_cache WHERE cache_id % 20 = 0)"
+_ASKS = f"(SELECT cache_id, unnest(list_distinct({S.tokens('query')})) AS token, 'a' AS side FROM external_cache UNION ALL SELECT cache_id, unnest(list_distinct({S.tokens('name')})), 'b' FROM external_cache)"
 
 
 @query(f"""
@@ -116,38 +116,47 @@ x AS (SELECT a.cache_id, o.slug, count(*) AS c FROM a JOIN o USING (token) GROUP
 SELECT DISTINCT b.cache_id, b.token FROM (SELECT * FROM p WHERE side = 'b') b WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.side = 'a' AND q.cache_id = b.cache_id AND q.token = b.token) AND (NOT EXISTS (SELECT 1 FROM z WHERE z.cache_id = b.cache_id) OR EXISTS (SELECT 1 FROM z JOIN o USING (slug) WHERE z.cache_id = b.cache_id AND o.token = b.token))""")
 def compatible_words(spark: SparkSession, folder: str) -> DataFrame:
     """Words of a second reading that fit the cards of the first: those of all its words, else of any; without such cards all fit."""
-    t = table(spark, folder, "external_cache").where("cache_id % 20 = 0")
-    first = t.select("cache_id", F.explode(F.array_distinct(T.tokens("query"))).alias("token"))
-    second = t.select("cache_id", F.explode(F.array_distinct(T.tokens("name"))).alias("token")).distinct().join(first, ["cache_id", "token"], "left_anti")
-    owners = I.postings(catalog(spark, folder), {k: k for k in ("name", "winery", "grape")}).select("token", "slug").distinct()
-    owners, first = cut(owners), cut(first)
-    # the owned words of each ask; asks of the same words are one
-    asked = cut(first.join(owners.select("token").distinct(), "token").groupBy("cache_id").agg(F.array_sort(F.collect_set("token")).alias("words")))
-    second = cut(second.join(asked, "cache_id", "left"))
-    groups = asked.select("words").distinct()
-    whole = cut(_together(groups.select("words", F.col("words").alias("all")), owners))
-    many = second.where("words is not null").select("words", "token").distinct().join(whole.withColumn("whole", F.lit(True)), "words", "left")
+    pages = table(spark, folder, "external_cache")
+    words_of = lambda c: F.coalesce(F.array_distinct(T.tokens(c)), F.array().cast("array<string>"))
+    cards = cut(catalog(spark, folder).select(F.monotonically_increasing_id().alias("slug"), F.array_distinct(F.concat(*map(words_of, ("name", "winery", "grape")))).alias("words")))
+    own = cards.select("slug", F.explode("words").alias("word"))
+    # numbers by rarity: the least of a set is its rarest word
+    numbers = cut(own.groupBy("word").agg(F.count("*").alias("df")).orderBy("df", "word").select("word", F.monotonically_increasing_id().alias("token")))
+    owners = cut(own.join(numbers, "word").select("token", "slug"))
+    read = pages.where("cache_id is not null").select("cache_id", words_of("query").alias("first"), words_of("name").alias("second"))
+    told = lambda words, asked: F.transform(words, lambda x: F.struct(x.alias("word"), F.lit(asked).alias("asked")))
+    said = read.select("cache_id", F.explode(F.concat(told("first", True), told(F.array_except("second", "first"), False))).alias("s")).select("cache_id", "s.*")
+    known = lambda asked: F.array_sort(F.collect_set(F.when(F.col("asked") == asked, F.col("token"))))
+    # the owned words of each ask and of its second reading
+    asks = said.join(numbers, "word").groupBy("cache_id").agg(known(True).alias("words"), known(False).alias("others")).where(F.size("words") > 0)
+    asks = cut(asks.select("cache_id", "words", F.array_except("others", "words").alias("others")))
+    # asks of the same words are one
+    groups = asks.select("words", F.explode("others").alias("token")).groupBy("words").agg(F.collect_set("token").alias("others"))
+    whole = _together(groups.select("words", F.col("words").alias("all")), owners)
+    many = cut(groups.join(whole.withColumn("whole", F.lit(True)), "words", "left")).select("words", "whole", F.explode("others").alias("token"))
     # a card has all of the ask's words and the other one, or, where none has all, one of them and the other
-    needed = many.where("whole").select("words", "token", F.array_distinct(F.concat("words", F.array("token"))).alias("all"))
-    any_of = many.where("whole is null").select("words", "token", F.explode("words").alias("word")).select("words", "token", F.array("word", "token").alias("all"))
+    needed = many.where("whole").select("words", "token", F.array_sort(F.array_append("words", F.col("token"))).alias("all"))
+    any_of = many.where("whole is null").select("words", "token", F.explode("words").alias("word")).select("words", "token", F.array_sort(F.array("word", "token")).alias("all"))
     sets = needed.unionByName(any_of)
-    held = _together(sets.select("all").distinct().select(F.col("all").alias("words"), "all"), owners).withColumnRenamed("words", "all")
-    fits = second.join(sets.join(held, "all", "left_semi").select("words", "token").distinct(), ["words", "token"]).select("cache_id", "token")
-    free = second.where("words is null").select("cache_id", "token")
+    held = _together(sets.select(F.col("all").alias("words"), "all").distinct(), owners).withColumnRenamed("words", "all")
+    fit = sets.join(held, "all", "left_semi").groupBy("words").agg(F.collect_set("token").alias("fit"))
+    fits = asks.join(fit, "words").select("cache_id", F.explode(F.array_intersect("others", "fit")).alias("token")).join(numbers, "token").select("cache_id", F.col("word").alias("token"))
+    loose = pages.select("cache_id", "query", "name").join(asks.select("cache_id"), "cache_id", "left_anti")
+    free = loose.select("cache_id", F.explode(words_of("name")).alias("token")).distinct().join(loose.select("cache_id", F.explode(words_of("query")).alias("token")), ["cache_id", "token"], "left_anti")
     return fits.unionByName(free)
 
 
 def _together(sets: DataFrame, owners: DataFrame) -> DataFrame:
-    """The distinct `words` of those `sets` (words, all) all of whose words `all` one card owns, by `owners` (token, slug).
+    """The distinct `words` of those `sets` (words, all) all of whose words `all` one card owns, by distinct `owners` (token, slug).
 
-    A set meets the cards of its rarest word only, and leaves its task only where it is found.
+    A set meets only the cards of its least word, of them only their greater words, and leaves its task only where it is found.
+    Right whatever the order of the words, fast where rare ones come first.
     """
-    df = owners.groupBy("token").agg(F.count("*").alias("df"))
-    word = sets.select("words", "all", F.explode("all").alias("token")).join(df, "token").groupBy("words", "all").agg(F.min(F.struct("df", "token")).alias("r"), F.count("*").alias("n"))
-    rarest = word.where(F.col("n") == F.size("all")).select("words", "all", F.col("r.token").alias("token"))
-    cards = owners.groupBy("slug").agg(F.collect_list("token").alias("own"))
-    kept = cards.select("own", F.explode("own").alias("token")).join(rarest.select("token").distinct(), "token", "left_semi").distinct()
-    return rarest.join(kept, "token").where(F.size(F.array_except("all", "own")) == 0).select("words").distinct()
+    at = F.posexplode("own").alias("at", "token")
+    cards = owners.groupBy("slug").agg(F.array_sort(F.collect_list("token")).alias("own")).select("own", at).select("token", F.expr("slice(own, at + 2, size(own))").alias("all"))
+    kind = sets.schema["words"].dataType.simpleString()
+    met = sets.select(F.array_min("all").alias("token"), "words", "all").unionByName(cards.select("token", F.lit(None).cast(kind).alias("words"), "all"))
+    return met.repartition("token").sortWithinPartitions("token", F.col("words").isNull()).mapInArrow(I.sets_on_cards, f"words {kind}").distinct()
 
 
 _YEARS = f"list_distinct(list_filter(string_split(translate({S.normalize('ocr')}, 'ОOI', '001'), ' '), lambda t: regexp_full_match(t, '(19|20)[0-9]{{2}}')))"
